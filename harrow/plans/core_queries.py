@@ -60,8 +60,8 @@ lm AS (SELECT ca.query_id, ca.doc_id, product({MIXTURE} * coalesce(tf, 0) / num_
 REL_SQL = "re AS (SELECT query_id, product_id, sum(vs.score) / any_value(num_reviews) AS relevance FROM vs JOIN rv USING (doc_id) JOIN pr USING (product_id) GROUP BY ALL)"
 
 
-def _reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return canonical_reviews(read(spark, folder, "reviews"))
+def _reviews(spark: SparkSession, folder: str, with_text: bool = True) -> DataFrame:
+    return canonical_reviews(read(spark, folder, "reviews"), with_text)
 
 
 def _postings(spark: SparkSession, folder: str, terms: list[str] | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def assign_doc_ids(spark, folder):
 
 @core.query("review_metadata", f"WITH {REVIEWS_SQL} SELECT doc_id, product_id, helpfulness_num, helpfulness_den, score FROM rv")
 def review_metadata(spark, folder):
-    return _reviews(spark, folder).drop("text")
+    return _reviews(spark, folder, False)
 
 
 @core.query("review_length", f"WITH {POSTINGS_SQL} SELECT * FROM ln")
@@ -193,7 +193,7 @@ def review_length(spark, folder):
 
 @core.query("product_ranges", f"WITH {POSTINGS_SQL} SELECT product_id, min_doc_id, max_doc_id, num_reviews FROM pr")
 def product_ranges(spark, folder):
-    return index.products(_reviews(spark, folder)).drop("rank")
+    return index.products(_reviews(spark, folder, False)).drop("rank")
 
 
 @core.query(
@@ -201,13 +201,13 @@ def product_ranges(spark, folder):
     f"WITH {REVIEWS_SQL}, f AS (SELECT min(product_id) AS product_id FROM rv) SELECT product_id, doc_id FROM rv JOIN f USING (product_id)",
 )
 def product_reviews(spark, folder):
-    reviews = _reviews(spark, folder)
+    reviews = _reviews(spark, folder, False)
     return reviews.where(F.col("product_id") == reviews.agg(F.min("product_id")).scalar()).select("product_id", "doc_id")
 
 
 @core.query("product_rank", f"WITH {POSTINGS_SQL} SELECT product_id, round(rank, 9) AS product_rank FROM pr")
 def product_rank(spark, folder):
-    return index.products(_reviews(spark, folder)).select("product_id", F.round("rank", 9).alias("product_rank"))
+    return index.products(_reviews(spark, folder, False)).select("product_id", F.round("rank", 9).alias("product_rank"))
 
 
 #: Helpfulness and score texts with their normal forms: fixed values.
@@ -388,7 +388,7 @@ def front_coding(spark, folder):
 
 @core.query("external_sort", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id, row_number() OVER (ORDER BY product_id, doc_id) AS place FROM rv WHERE product_id IS NOT NULL")
 def external_sort(spark, folder):
-    rows = _reviews(spark, folder).where("product_id is not null").select("product_id", "doc_id")
+    rows = _reviews(spark, folder, False).where("product_id is not null").select("product_id", "doc_id")
     return ordering.number_rows(rows, [F.col("product_id"), F.col("doc_id")], "place")
 
 
@@ -458,7 +458,7 @@ def p5_product_results(spark, folder):
 )
 def p5_review_pages(spark, folder):
     """Every review with the number of pages about its product: the join with a replicated matching side."""
-    reviews = _reviews(spark, folder).select("doc_id", "product_id")
+    reviews = _reviews(spark, folder, False).select("doc_id", "product_id")
     pages = read(spark, folder, "documents").groupBy(text.product_key(F.col("product_id")).alias("product_id")).agg(F.count("*").alias("num_pages"))
     return skew.balanced_join(reviews, pages, "product_id", "doc_id", 200_000, "left").select("doc_id", "product_id", "num_pages")
 

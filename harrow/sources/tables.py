@@ -27,15 +27,19 @@ def distinct_reviews(reviews: DataFrame, columns: list[str]) -> DataFrame:
     return one_delivery(reviews, "doc_id", "received_at", columns)
 
 
-def canonical_reviews(reviews: DataFrame) -> DataFrame:
-    """Each doc_id once: product_id folded (null is no product), votes ordered, score 1 outside 1..5 or null, text as stored."""
+def canonical_reviews(reviews: DataFrame, with_text: bool = True) -> DataFrame:
+    """Each doc_id once: product_id folded (null is no product), votes ordered, score 1 outside 1..5 or null, text as stored.
+
+    Without text, the scan does not read it.
+    """
+    texts = ["text"] if with_text else []
     votes = ordered_votes(F.col("helpfulness_num"), F.col("helpfulness_den"))
     return (
-        distinct_reviews(reviews, ["product_id", "helpfulness_num", "helpfulness_den", "score", "text"])
+        distinct_reviews(reviews, ["product_id", "helpfulness_num", "helpfulness_den", "score", *texts])
         .withColumn("__votes", votes)
         .select(
             "doc_id", product_key(F.col("product_id")).alias("product_id"),
             F.col("__votes.num").alias("helpfulness_num"), F.col("__votes.den").alias("helpfulness_den"),
-            F.when(F.col("score").between(1, 5), F.col("score")).otherwise(1).cast("int").alias("score"), "text",
+            F.when(F.col("score").between(1, 5), F.col("score")).otherwise(1).cast("int").alias("score"), *texts,
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.llm import fusion, ngrams, sql, weights
+from harrow.llm import fusion, mojibake, ngrams, sql, weights
 from harrow.plans.durable import cut
 from harrow.plans.registry import Registry
 from harrow.sources.tables import distinct_reviews, read
@@ -51,3 +51,17 @@ def p3_found(spark, folder):
 def p3_fused(spark, folder):
     fused = fusion.fuse_candidates(read(spark, folder, "candidates"), read(spark, folder, "reviews"))
     return fusion.in_order(fused, "query_id", "doc_id").withColumn("fused", F.round("fused", 9))
+
+
+def _review_texts(spark, folder):
+    return distinct_reviews(read(spark, folder, "reviews"), ["text"])
+
+
+@llm.query("p6_found")
+def p6_found(spark, folder):
+    return mojibake.garbled(_review_texts(spark, folder)).select("doc_id")
+
+
+@llm.query("p6_restored")
+def p6_restored(spark, folder):
+    return mojibake.garbled(_review_texts(spark, folder))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.llm import fusion, mojibake, ngrams, sql, weights
+from harrow.llm import fusion, leakage, markup, mixing, mojibake, ngrams, spam, sql, weights
 from harrow.plans.durable import cut
 from harrow.plans.registry import Registry
 from harrow.sources.tables import distinct_reviews, read
@@ -65,3 +65,49 @@ def p6_found(spark, folder):
 @llm.query("p6_restored")
 def p6_restored(spark, folder):
     return mojibake.garbled(_review_texts(spark, folder))
+
+
+@llm.query("p4_found")
+def p4_found(spark, folder):
+    return markup.residue(_review_texts(spark, folder)).select("doc_id")
+
+
+@llm.query("p4_cleaned")
+def p4_cleaned(spark, folder):
+    return markup.residue(_review_texts(spark, folder))
+
+
+@llm.query("p8_found")
+def p8_found(spark, folder):
+    return leakage.leaked(read(spark, folder, "documents"), read(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+@llm.query("p8_passages")
+def p8_passages(spark, folder):
+    return leakage.leaked(read(spark, folder, "documents"), read(spark, folder, "eval_items"))
+
+
+@llm.query("p9_found", sql.P9_FOUND)
+def p9_found(spark, folder):
+    _, report = mixing.mix(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+    return report.where(~F.col("reachable")).select("source")
+
+
+@llm.query("p9_report")
+def p9_report(spark, folder):
+    return mixing.mix(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))[1]
+
+
+@llm.query("p9_mix")
+def p9_mix(spark, folder):
+    return mixing.copies_of(mixing.mix(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))[0])
+
+
+@llm.query("p10_found")
+def p10_found(spark, folder):
+    return spam.classify(read(spark, folder, "documents")).where("spam").select("doc_id")
+
+
+@llm.query("p10_scores")
+def p10_scores(spark, folder):
+    return spam.classify(read(spark, folder, "documents"))

@@ -27,3 +27,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY query_id, metric ORDER BY v DESC NULLS
 f AS (SELECT query_id, doc_id, round(sum(1 / (60 + place)), 12) AS fused FROM r GROUP BY ALL)"""
 P3_FOUND = f"WITH {_FUSED} SELECT query_id, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) = 1"
 P3_FUSED = f"WITH {_FUSED} SELECT query_id, doc_id, round(fused, 9) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM f"
+P9_FOUND = """WITH d AS (SELECT lower(trim(source, ' ')) AS source, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 ]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS size FROM d GROUP BY source)
+SELECT lower(trim(t.source, ' ')) AS source FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source, ' '))
+WHERE coalesce(s.size, 0) * max_repeats < target_share * (SELECT sum(size) FROM d)"""

@@ -7,10 +7,9 @@ not depend on its length.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from harrow.llm.mixing import source_key
 from harrow.plans.durable import cut
 
-FEATURES = ("loose", "function_words", "distinct_words", "top_word", "repeated_pairs", "repeated_triples", "links", "tags", "separators", "sentence_ends", "short_units", "compression", "repeated_units")
+FEATURES = ("loose", "function_words", "distinct_words", "top_word", "repeated_pairs", "repeated_triples", "links", "tags", "separators", "sentence_ends", "short_units")
 #: The commonest function words of five languages.
 FUNCTION_WORDS = frozenset(
     """a about after all an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its
@@ -31,84 +30,122 @@ FUNCTION_WORDS = frozenset(
     au aux avec ce ces cette dans de des du elle en est et eu il ils je l la le les leur lui ma mais me mes moins mon ne nous on ou par pas plus pour qu que qui sa sans se ses si son sont sur ta te un une vous y
     ao aos as até com como da das de depois do dos e ela ele em era essa esse esta este eu foi isso já mais mas me meu minha muito na não nas nem no nos o os ou para pela pelo por que se sem ser seu são só sua tem um uma""".split()
 )
-_LINK = re.compile(r"(?:https?://|www\.)\S+")
-_UNIT = re.compile(r"[^\n.!?…。！？]+[.!?…。！？]*[\"”’')\]]*|[.!?…。！？]+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_LINK = r"(?:https?://|www\.)\S+"
+#: Typographic quotes, dashes and dots end a word as their ASCII forms do.
+_SIGNS = "[\u2018\u2019\u201a-\u201f\u2039\u203a\u00ab\u00bb\u2013\u2014\u2026\u00b7\u2022\u00a0\u3000-\u3002]"
 #: Words of a piece of text that is judged at once; longer units without an end are judged piece by piece.
 PIECE = 24
+#: A link counts like so many letters of text.
+LINK_LETTERS = 24
+#: Pages that are looked at in one go.
+PAGES = 1000
+_WORD, _MARK, _END = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = _WORD
+_KIND[1] = _MARK
+_KIND[[10, *b".!?"]] = _END
 
 
-def _pieces(text: str) -> list[tuple[str, bool]]:
-    """Units of text and whether they end like a sentence."""
-    out = []
-    for line in text.split("\n"):
-        for unit in _UNIT.findall(line):
-            if unit.strip():
-                out.append((unit.strip(), unit.rstrip(" \"”’')]")[-1:] in tuple(".!?…。！？")))
-    return out
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each key, size of each key's group)."""
+    _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
+    return group, size[group]
+
 
+def features(texts: pa.Array) -> dict[str, np.ndarray]:
+    """FEATURES of pages, whole columns at once; 0 throughout for null and for pages without words.
 
-def _is_loose(words: list[str], links: int, frequent: Counter) -> bool:
-    """Whether a piece is strung together: links, one word again and again, word pairs that the page repeats, or hardly
-    any function words."""
-    if links and links * 8 >= len(words):
-        return True
-    pairs = list(zip(words, words[1:], strict=False))
-    if pairs and sum(frequent[p] > 3 and not (p[0] in FUNCTION_WORDS or p[1] in FUNCTION_WORDS) for p in pairs) * 3 >= len(pairs):
-        return True
-    top = max(Counter(w for w in words if w not in FUNCTION_WORDS).values(), default=0)
-    if top >= 3 and top * 8 >= len(words):
-        return True
-    return sum(w in FUNCTION_WORDS for w in words) < 0.15 * len(words)
-
-
-def features(text: str | None) -> dict[str, float]:
-    """FEATURES of a page; 0 throughout for null or a page without words."""
-    text = text or ""
-    found_links = _LINK.findall(text)
-    without = _LINK.sub(" \x01 ", text)
-    all_words = [w.lower() for w in _WORD.findall(without)]
-    size = len(all_words) + len(found_links)
-    if not size:
-        return dict.fromkeys(FEATURES, 0.0)
-    pairs = Counter(zip(all_words, all_words[1:], strict=False))
-    triples = Counter(zip(all_words, all_words[1:], all_words[2:], strict=False))
-    units = _pieces(without)
-    loose = ends = short = weight = 0
-    for unit, ended in units:
-        words = [w.lower() for w in _WORD.findall(unit)]
-        links = unit.count("\x01")
-        for at in range(0, max(1, len(words)), PIECE):
-            piece = words[at : at + PIECE]
-            held = links if at == 0 else 0
-            # A link counts like a line of its own: by the characters that it takes of the page.
-            size_of = sum(map(len, piece)) + held * 24
-            weight += size_of
-            loose += size_of * _is_loose(piece, held, pairs)
-        ends += ended
-        short += len(words) < 4
-    unit_counts = Counter(u for u, _ in units)
-    data = text.encode("utf-8", "replace")
-    words = max(1, len(all_words))
-    return {
-        "loose": loose / max(1, weight), "function_words": sum(w in FUNCTION_WORDS for w in all_words) / words, "distinct_words": len(set(all_words)) / words,
-        "top_word": max(Counter(w for w in all_words if w not in FUNCTION_WORDS).values(), default=0) / words,
-        "repeated_pairs": sum(c for c in pairs.values() if c > 2) / words, "repeated_triples": sum(c for c in triples.values() if c > 1) / words,
-        "links": sum(map(len, found_links)) / len(text), "tags": text.count("#") / words, "separators": sum(map(text.count, "|/,;·»")) / words,
-        "sentence_ends": ends / words, "short_units": short / max(1, len(units)), "compression": len(zlib.compress(data, 1)) / len(data),
-        "repeated_units": 1 - len(unit_counts) / max(1, len(units)),
+    Text is cut into units at line ends and sentence ends, longer units into pieces of PIECE words. A piece is loose if
+    an eighth of it are links, one content word comes three times and is an eighth of it, a third of its word pairs are
+    content words that the page pairs four times or more, or fewer than 15 % of its words are function words.
+    """
+    rows = len(texts)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    marked = pc.replace_substring_regex(texts, pattern=_LINK, replacement=" \x01 ")
+    plain = pc.replace_substring_regex(pc.utf8_lower(marked), pattern=_SIGNS, replacement=". ").cast(pa.large_string())
+    bounds = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + rows + 1]
+    raw = plain.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    kind = _KIND[data]
+    row_of_byte = np.repeat(np.arange(rows), np.diff(bounds))
+    per_row = lambda mask: np.bincount(row_of_byte[mask], minlength=rows).astype(float)
+    starts_row = np.zeros(len(data) + 1, bool)
+    starts_row[bounds[:-1]] = True
+    word = kind == _WORD
+    begins = (word & (np.concatenate(([True], ~word[:-1])) | starts_row[:-1])) | (kind == _MARK)
+    start = np.flatnonzero(begins)
+    out = {f: np.zeros(rows) for f in FEATURES}
+    if not len(start):
+        return out
+    last = (word & (np.concatenate((~word[1:], [True])) | starts_row[1:])) | (kind == _MARK)
+    length = np.flatnonzero(last) + 1 - start
+    inside = word | (kind == _MARK)
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int64).tobytes()), pa.py_buffer(data[inside].tobytes()))
+    encoded = words.dictionary_encode()
+    code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = len(encoded.dictionary) + 1
+    is_function = pc.is_in(encoded.dictionary, value_set=pa.array(sorted(FUNCTION_WORDS), pa.large_string())).to_numpy(zero_copy_only=False)[code]
+    is_link = kind[start] == _MARK
+    row = row_of_byte[start]
+    content = ~is_function & ~is_link
+    # Units: a new one with each row, line end and sentence end; consecutive numbers.
+    breaks = np.cumsum(kind == _END)[start]
+    fresh = np.concatenate(([True], (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])))
+    first = np.flatnonzero(fresh)
+    unit_size = np.diff(np.append(first, len(start)))
+    place = np.arange(len(start)) - np.repeat(first, unit_size)
+    new_piece = fresh | (place % PIECE == 0)
+    piece = np.cumsum(new_piece) - 1
+    edges = np.flatnonzero(new_piece)
+    size = np.diff(np.append(edges, len(start)))
+    total = lambda values: np.add.reduceat(values.astype(np.int64), edges)
+    same_row = np.append(row[1:] == row[:-1], False)
+    following = np.append(code[1:], 0)
+    pair, pair_count = _runs(np.where(same_row, (row * width + code) * width + following, -1 - np.arange(len(code))))
+    third = same_row & np.append(same_row[1:], False)
+    _, triple_count = _runs(np.where(third, pair * width + np.append(code[2:], [0, 0])[: len(code)], -1 - np.arange(len(code))))
+    in_piece = np.append(piece[1:] == piece[:-1], False)
+    stuffed = in_piece & (pair_count > 3) & content & np.append(content[1:], False)
+    _, again = _runs(piece * width + code)
+    top = np.maximum.reduceat(np.where(content, again, 0), edges)
+    links = total(is_link)
+    loose = ((links > 0) & (links * 8 >= size)) | ((top >= 3) & (top * 8 >= size)) | ((size > 1) & (total(stuffed) * 3 >= size - 1)) | (total(is_function) < 0.15 * (size - links))
+    weight = total(np.where(is_link, LINK_LETTERS, length))
+    piece_row = row[edges]
+    by_row = lambda index, values: np.bincount(index, values, rows)
+    count = np.maximum(1, by_row(row, ~is_link))
+    seen = np.maximum(1, by_row(piece_row, weight))
+    keys, key_count = np.unique(row * width + code, return_counts=True)
+    key_row, key_code = np.divmod(keys, width)
+    content_code = np.zeros(width, bool)
+    content_code[code[content]] = True
+    top_word = np.zeros(rows)
+    np.maximum.at(top_word, key_row, np.where(content_code[key_code], key_count, 0))
+    chars = np.maximum(1, np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + rows + 1]))
+    unit_row = row[first]
+    out |= {
+        "loose": by_row(piece_row, weight * loose) / seen, "function_words": by_row(row, is_function) / count, "distinct_words": np.bincount(key_row, minlength=rows) / count,
+        "top_word": top_word / count, "repeated_pairs": by_row(row, same_row & (pair_count > 2)) / count, "repeated_triples": by_row(row, third & (triple_count > 1)) / count,
+        "links": np.maximum(0, 1 - pc.binary_length(marked).to_numpy(zero_copy_only=False) / chars), "tags": per_row(data == 35) / count,
+        "separators": per_row(np.isin(data, np.frombuffer(b"|/,;", np.uint8))) / count, "sentence_ends": per_row((kind == _END) & (data != 10)) / count,
+        "short_units": by_row(unit_row, unit_size < 4) / np.maximum(1, np.bincount(unit_row, minlength=rows)),
     }
+    empty = np.bincount(row, minlength=rows) == 0
+    for values in out.values():
+        values[empty] = 0.0
+    return out
 
 
 def page_features(documents: DataFrame) -> DataFrame:
     """(doc_id, host, FEATURES); host as mixing.source_key(), '' for null."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array([r[f] for r in rows], pa.float64()) for f in FEATURES)], ["doc_id", "host", *FEATURES])
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                found = features(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *(pa.array(found[f]) for f in FEATURES)], ["doc_id", "host", *FEATURES])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     host = F.coalesce(source_key(F.col("source")), F.lit("")).alias("host")

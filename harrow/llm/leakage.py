@@ -22,6 +22,8 @@ BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 3
 SHINGLE = 5
 #: Items go to the executors in groups of at most this many words; each group reads the documents once.
 GROUP_WORDS = 400_000
+#: Words whose windows are fingerprinted at once.
+CHUNK = 60_000
 #: Part of an item that a passage must hold, and part of the passage that may be changed or missing.
 LEAST_SHARE, MOST_EDITS = 0.5, 0.1
 #: Least weighted part of an item's shingles to go on: a half of which every tenth word is changed keeps 0.2 and more.
@@ -173,6 +175,21 @@ def holds(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int] | No
     return None
 
 
+def best_passage(item: np.ndarray, document: np.ndarray, hits: np.ndarray) -> tuple[float, int, int] | None:
+    """The largest passage near the given word places, of equal ones the first.
+
+    A passage reaches at most two item lengths from a hit, so stretches of eight lengths that overlap by four hold each
+    one whole; a long document is never aligned as a whole.
+    """
+    size, best = len(item), None
+    for stretch in sorted({int(h) // (4 * size) for h in hits}):
+        low = max(0, (stretch * 4 - 2) * size)
+        if found := holds(item, document[low : (stretch * 4 + 6) * size]):
+            if best is None or found[0] > best[0]:
+                best = (found[0], found[1] + low, found[2] + low)
+    return best
+
+
 def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     """(doc_id, item_id, share, first_word, last_word) of each item and document that holds a passage of it.
 
@@ -210,21 +227,25 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
                     out = []
                     terms, codes, owner = coded(part.column("text"))
                     known = word_hashes(terms.to_pylist())
-                    prints = fingerprints(codes, signs(known), width) if len(codes) else np.zeros(0, np.uint64)
-                    inside = owner[: len(prints)] == owner[len(owner) - len(prints) :]
-                    places = np.flatnonzero(inside)
-                    left, right = index.near(prints[places])
-                    found = set()
-                    for document, value in set(zip(owner[places[left]].tolist(), right.tolist(), strict=True)):
-                        found.update((document, i) for i in index.owners[index.first[value] : index.first[value + 1]].tolist())
+                    table, hits = signs(known), {}
+                    for begin in range(0, len(codes), CHUNK):
+                        stretch = codes[begin : begin + CHUNK + width - 1]
+                        prints = fingerprints(stretch, table, width)
+                        places = begin + np.flatnonzero(owner[begin : begin + len(prints)] == owner[begin + width - 1 : begin + width - 1 + len(prints)])
+                        left, right = index.near(prints[places - begin])
+                        for place, value in zip(places[left].tolist(), right.tolist(), strict=True):
+                            for item in index.owners[index.first[value] : index.first[value + 1]].tolist():
+                                hits.setdefault((int(owner[place]), item), []).append(place)
                     edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
                     cut: dict[int, np.ndarray] = {}
-                    for document, item in sorted(found):
-                        own = known[codes[edges[document] : edges[document + 1]]]
+                    for (document, item), near in sorted(hits.items()):
+                        begin = edges[document]
+                        own = known[codes[begin : edges[document + 1]]]
                         if document not in cut:
-                            cut[document] = np.unique(shingles(own))
-                        if index.similarity(item, cut[document]) >= LEAST_SHINGLES and (passage := holds(index.items.words[item], own)):
-                            out.append((document, index.items.ids[item], *passage))
+                            cut = {document: np.unique(shingles(own))}
+                        if index.similarity(item, cut[document]) >= LEAST_SHINGLES:
+                            if passage := best_passage(index.items.words[item], own, np.array(near) - begin):
+                                out.append((document, index.items.ids[item], *passage))
                     columns = list(zip(*out, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32())],

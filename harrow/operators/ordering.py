@@ -23,11 +23,14 @@ def place_rows(df: DataFrame, order: list[Column]) -> tuple[DataFrame, dict[int,
 
 
 def number_rows(df: DataFrame, order: list[Column], out: str = "row_num", start: int = 1) -> DataFrame:
-    """df with consecutive numbers in the given order; ties come in any order, so give a total one. Empty stays empty."""
+    """df with consecutive numbers in the given order; ties come in any order, so give a total one. Empty stays empty.
+
+    A column of df with the name of the new one is replaced; names that start with two underscores are reserved.
+    """
     placed, offsets = place_rows(df, order)
     table = df.sparkSession.createDataFrame(list(offsets.items()), "__part int, __offset long")
     numbered = placed.join(F.broadcast(table), "__part")  # a row for each partition
-    return numbered.select(*df.columns, (F.col("__offset") + F.col("__pos") + start).alias(out))
+    return numbered.select(*(c for c in df.columns if c != out), (F.col("__offset") + F.col("__pos") + start).alias(out))
 
 
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
@@ -37,7 +40,7 @@ def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str
     which there are few.
     """
     placed, _ = place_rows(df, [*(F.col(g) for g in group), *order])
-    columns = df.columns
+    columns = [c for c in df.columns if c != out]
     keys = [*group, "__part"]
     own = F.coalesce(F.col(value), F.lit(0))
     inside = Window.partitionBy(*keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,4 +63,6 @@ def previous_in_group(df: DataFrame, group: str, position: str, block: int = 1 <
     rows = blocked.withColumn("__inner", F.lag(position).over(inside))
     tops = blocked.groupBy(group, "__block").agg(F.max(position).alias("__top"))
     tops = tops.withColumn("__outer", F.lag("__top").over(Window.partitionBy(group).orderBy("__block"))).drop("__top")
-    return rows.join(tops, [group, "__block"], "left").select(*df.columns, F.coalesce("__inner", "__outer").alias(out))
+    same = F.col(group).eqNullSafe(F.col("__g")) & (F.col("__block") == F.col("__b"))
+    tops = tops.select(F.col(group).alias("__g"), F.col("__block").alias("__b"), "__outer")
+    return rows.join(tops, same, "left").select(*(c for c in df.columns if c != out), F.coalesce("__inner", "__outer").alias(out))

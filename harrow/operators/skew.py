@@ -34,13 +34,13 @@ def plan_placement(keyed: DataFrame, key: str, rows_per_task: int) -> Placement:
 
     A heavy key holds more than rows_per_task rows, so there are fewer of them than tasks.
     """
-    loads = keyed.groupBy(key).agg(F.count("*").alias("__n"))
+    loads = keyed.groupBy(F.col(key).cast("string").alias("__text")).agg(F.count("*").alias("__n"))
     total = keyed.count()
     num_tasks = max(1, math.ceil(total / rows_per_task))
     num_buckets = BUCKETS_PER_TASK * num_tasks
     is_heavy = F.col("__n") > rows_per_task
-    slot = F.when(~is_heavy, F.pmod(F.xxhash64(key), F.lit(num_buckets)))
-    packed = loads.groupBy(F.when(is_heavy, F.col(key)).alias("__key"), slot.alias("__bucket")).agg(F.sum("__n").alias("__n")).collect()
+    slot = F.when(~is_heavy, F.pmod(F.xxhash64("__text"), F.lit(num_buckets)))
+    packed = loads.groupBy(F.when(is_heavy, F.col("__text")).alias("__key"), slot.alias("__bucket")).agg(F.sum("__n").alias("__n")).collect()
     pieces = [(r["__n"], "", r["__bucket"]) for r in packed if r["__key"] is None]
     for r in packed:
         if r["__key"] is not None:
@@ -67,8 +67,9 @@ def _with_tasks(df: DataFrame, key: str, plan: Placement) -> DataFrame:
     spark = df.sparkSession
     heavy = spark.createDataFrame(sorted(plan.heavy.items()), "__heavy string, __own array<int>")
     buckets = spark.createDataFrame(list(enumerate(plan.buckets)), "__bucket long, __light int")
-    bucketed = df.where(F.col(key).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(len(plan.buckets))))
-    found = bucketed.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left").join(F.broadcast(buckets), "__bucket")
+    text = F.col(key).cast("string")
+    bucketed = df.where(F.col(key).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(text), F.lit(len(plan.buckets))))
+    found = bucketed.join(F.broadcast(heavy), text == F.col("__heavy"), "left").join(F.broadcast(buckets), "__bucket")
     return found.drop("__heavy", "__bucket")
 
 
@@ -88,10 +89,13 @@ def replicate(side: DataFrame, key: str, plan: Placement) -> DataFrame:
 def balanced_join(rows: DataFrame, side: DataFrame, key: str, spread: str, rows_per_task: int = 1_000_000, how: str = "inner") -> DataFrame:
     """rows joined with side on key; how: inner or left. Columns: those of rows, then those of side but the key.
 
-    No task gets more than about rows_per_task rows, however many one key holds. Rows of `side` with equal keys all
-    match. Column names of the two sides other than the key must differ. A null key matches nothing: with how='left'
-    such rows come with nulls.
+    No shard has more than about rows_per_task rows, however many one key holds; the join hashes (task, key), so the
+    shards of a key lie in different tasks. Rows of `side` with equal keys all match. A column of side whose name rows
+    has too comes as side_<name>. A null key matches nothing: with how='left' such rows come with nulls.
     """
+    own = set(rows.columns)
+    renamed = {c: f"side_{c}" for c in side.columns if c != key and c in own}
+    side = side.withColumnsRenamed(renamed)
     plan = plan_placement(rows.where(F.col(key).isNotNull()), key, rows_per_task)
     left, right = place(rows, key, F.col(spread), plan), replicate(side, key, plan)
     joined = left.join(right.hint("shuffle_merge"), ["__task", key], how).drop("__task")

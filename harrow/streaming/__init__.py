@@ -1,0 +1 @@
+"""Incremental index blocks from arriving reviews."""

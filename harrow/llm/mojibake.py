@@ -214,7 +214,13 @@ class Repairer:
         for label, score in ranked:
             if score < clean - MARGIN:
                 break
-            if label in self.chains and (text := undo(run, *self.chains[label])) is not None:
+            if label not in self.chains:
+                continue
+            chain, case = self.chains[label]
+            # A changed case is assumed only where the chain alone does not fit, or in shouted text.
+            if case and undo(run, chain) is not None and not (case == "upper" and before.isupper()):
+                continue
+            if (text := undo(run, chain, case)) is not None:
                 odd = (before.islower() and text[0].isupper()) or (after.islower() and text[-1].isupper() and before.isalpha())
                 fitting.append((score - 6.0 * odd, label, text))
         return sorted(fitting, key=lambda f: -f[0])

@@ -178,6 +178,7 @@ def classify(documents: DataFrame, train_rows: int = 20_000, trees: int = 40, de
         forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=1.0, seed=seed, maxBins=64).fit(labelled)
         scored = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(pages))
         scored = scored.withColumn("probability", vector_to_array("probability")[1])
+    scored = scored.withColumn("probability", F.when(F.col("distinct_words") > 0, F.col("probability")).otherwise(0.0))
     scored = scored.select("doc_id", "host", F.col("probability").cast("double"))
     logit = lambda p: F.log(F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001)) / (1 - F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001))))
     hosts = scored.groupBy("host").agg(F.sum("probability").alias("s"), F.count("*").alias("n"))

@@ -13,13 +13,16 @@ from harrow.operators.ordering import number_rows
 TABLES = ("reviews", "postings", "dictionary", "products", "stats")
 
 
-def postings(reviews: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, tf) of reviews with distinct doc_id, sorted by nothing; with `terms`, of these (lower-case) only.
+def postings(reviews: DataFrame, terms: list[str] | DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf) of reviews with distinct doc_id, sorted by nothing; with `terms`, of these only.
 
-    Reviews from canonical_reviews() are partitioned by doc_id, which this grouping reuses: no second shuffle.
+    terms: lower-case terms, or a table with a column term of any case. Other tokens are dropped before they are
+    counted. Reviews from canonical_reviews() are partitioned by doc_id, which this grouping reuses: no second shuffle.
     """
     exploded = reviews.select("doc_id", F.explode(raw_tokens(F.col("text"))).alias("__raw")).select("doc_id", F.lower("__raw").alias("term"))
-    if terms is not None:
+    if isinstance(terms, DataFrame):
+        exploded = exploded.join(terms.where("term is not null").select(F.lower("term").alias("term")).distinct(), "term", "left_semi")
+    elif terms is not None:
         exploded = exploded.where(F.col("term").isin(sorted(set(terms))))
     return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
 
@@ -61,11 +64,6 @@ def number_terms(terms: DataFrame) -> DataFrame:
     return number_rows(terms, [F.col("term")], "term_index", 0)
 
 
-def add_lists(posted: DataFrame) -> DataFrame:
-    """(term, postings): the list form, doc_id ascending; for single terms and small results only."""
-    return posted.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
-
-
 @dataclass(frozen=True)
 class ReviewIndex:
     """The five tables; build() plans them, save() writes them, load() opens them."""

@@ -247,7 +247,8 @@ def postings_for_term(spark, folder):
 
 @core.query("corpus_freqs_for_terms", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, coalesce(cf, 0) AS cf FROM qc LEFT JOIN di USING (term)")
 def corpus_freqs_for_terms(spark, folder):
-    return rank.corpus_frequencies(read(spark, folder, "query_terms"), _dictionary(spark, folder))
+    query = read(spark, folder, "query_terms")
+    return rank.corpus_frequencies(query, index.dictionary(index.postings(_reviews(spark, folder), query)))
 
 
 @core.query("term_doc_freqs", f"WITH {POSTINGS_SQL}, {_values(KNOWN)}, {LTC_SQL} SELECT query_id, raw_term, doc_id, tf FROM qc JOIN po USING (term)")
@@ -257,8 +258,8 @@ def term_doc_freqs(spark, folder):
 
 @core.query("query_ltc", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, term, round(weight, 9) AS weight FROM ltc")
 def query_ltc(spark, folder):
-    reviews = _reviews(spark, folder)
-    weights = rank.query_ltc(read(spark, folder, "query_terms"), index.dictionary(index.postings(reviews)), _count(reviews))
+    reviews, query = _reviews(spark, folder), read(spark, folder, "query_terms")
+    weights = rank.query_ltc(query, index.dictionary(index.postings(reviews, query)), _count(reviews))
     return weights.withColumn("weight", F.round("weight", 9))
 
 
@@ -275,9 +276,9 @@ def doc_lnn(spark, folder):
     FROM v a JOIN n USING (query_id) JOIN di d USING (term) GROUP BY a.query_id""",
 )
 def sparse_vector_ops(spark, folder):
-    reviews = _reviews(spark, folder)
-    terms = index.dictionary(index.postings(reviews))
-    counted = rank.query_counts(read(spark, folder, "query_terms")).join(terms, "term")
+    reviews, query = _reviews(spark, folder), read(spark, folder, "query_terms")
+    terms = index.dictionary(index.postings(reviews, query))
+    counted = rank.query_counts(query).join(terms, "term")
     weight = F.sum((1 + F.log10("qtf")) * F.log10(_count(reviews).cast("double") / F.col("df")))
     vectors = counted.groupBy("query_id", "term").agg(weight.alias("weight"), F.max("cf").alias("cf"))
     unit = rank.normalized(vectors, "query_id").withColumnRenamed("weight", "unit")
@@ -285,7 +286,7 @@ def sparse_vector_ops(spark, folder):
     return rank.norm(vectors, "query_id").join(products, "query_id").select("query_id", F.round("norm", 9).alias("norm"), "dot", "own_part")
 
 
-def _vector_scorer(reviews: DataFrame, terms: list[str] | None):
+def _vector_scorer(reviews: DataFrame, terms: list[str] | DataFrame):
     posted = index.postings(reviews, terms)
     return lambda query: rank.vector_scores(rank.query_ltc(query, index.dictionary(posted), _count(reviews)), posted)
 
@@ -304,7 +305,8 @@ def vector_space_search(spark, folder):
     f"""WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::INTEGER AS rank FROM vs QUALIFY rank <= 10""",
 )
 def batch_vector_search(spark, folder):
-    scores = _vector_scorer(_reviews(spark, folder), None)(read(spark, folder, "query_terms"))
+    query = read(spark, folder, "query_terms")
+    scores = _vector_scorer(_reviews(spark, folder), query)(query)
     return rank.top_k(scores, 10).withColumn("score", F.round("score", 9))
 
 

@@ -43,6 +43,7 @@ def test_postings_dictionary_stats(tables):
     assert {r.term: (r.df, r.cf) for r in index.dictionary(posted).collect()}["kettle"] == (2, 3)
     assert tuple(index.stats(tables).first()) == (6, 11, 7, 9)
     assert index.postings(tables, ["lid"]).count() == 1
+    assert index.postings(tables, tables.selectExpr("'Lid' AS term", "doc_id")).count() == 1
     assert {r.doc_id: r.num_tokens for r in index.lengths(tables).collect()} == {1: 6, 2: 2, 3: 3, 4: 0, 5: 0, 6: 0}
 
 
@@ -64,6 +65,8 @@ def test_index_round_trip_and_lookups(spark, tables, tmp_path):
     assert (reader.get_index_of_token("a"), reader.get_index_of_token("the"), reader.get_index_of_token("b")) == (0, 6, -2)
     assert [r.term for r in reader.terms().collect()] == sorted(r.term for r in reader.terms().collect())
     assert reader.tokens().count() == 9
+    plan = reader.get_reviews_with_token("kettle")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,kettle)]" in plan and "ReadSchema: struct<term:string,doc_id:bigint,tf:bigint>" in plan
     index.remove_index(spark, path)
     index.remove_index(spark, path)
     assert not (tmp_path / "index").exists()

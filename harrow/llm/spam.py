@@ -175,7 +175,7 @@ def classify(documents: DataFrame, train_rows: int = 20_000, trees: int = 40, de
     if len(classes) < 2:
         scored = pages.withColumn("probability", F.col("loose"))
     else:
-        forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", subsamplingRate=1.0, seed=seed, maxBins=64).fit(labelled)
+        forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0, seed=seed, maxBins=64).fit(labelled)
         scored = forest.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(pages))
         scored = scored.withColumn("probability", vector_to_array("probability")[1])
     scored = scored.withColumn("probability", F.when(F.col("distinct_words") > 0, F.col("probability")).otherwise(0.0))

@@ -28,7 +28,7 @@ TRIGGER = r"[<>&*_#`\[\]{}\\|~=^]|''|\$(?![0-9])|(?m:^[ \t]*([-+]|[0-9]{1,3}[.)]
 _PIECES = (
     ("fence", r"(?m:^[ \t]*(?:```|~~~)[^\n`]*$)"),
     ("comment", r"<!--.*?(?:-->|$)|<!\[CDATA\[|<![A-Za-z][^>]*>|<\?[a-z][^>]*\?>"),
-    ("tag", r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*|/)?>"),
+    ("tag", r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+))?)*\s*/?>"),
     ("cut_tag", r"<[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:\"[^\"<>\n]*\"|'[^'<>\n]*'|[\"'][\w:/.#-]*|[^\s<>\"']+))+|</[A-Za-z][A-Za-z0-9]*|<(?:br|hr|p|div|span|li|ul|ol|img|a|b|i|td|tr|table|font|pre|code|h[1-6])\b(?=\s*(?:/?$|/|\n))"),
     ("entity", r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"),
     ("template", r"\{\{[^{}\n]*\}\}"),

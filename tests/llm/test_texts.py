@@ -31,6 +31,7 @@ CLEANED = {
     "<h3>Lamp</h3>Good <b>lamp</b>.<br/>Yes": "# Lamp\nGood lamp.\nYes", "A<ul><li>one</li><li>two</li></ul>": "A\n- one\n- two", "Salt &amp; pepper": "Salt & pepper",
     "See ![pic](http://a.b/c) it": "See pic it", "**good** and [this one](http://a.b/c).": "good and this one.", "It costs $\\frac{1}{2}$ each.": "It costs $\\frac{1}{2}$ each.",
     "Text.\n\n```\na = 1\nb = [2]\n```\n\nMore.": "Text.\n\n```\na = 1\nb = [2]\n```\n\nMore.", "Got it.\n\n| a | b |\n|---|---|\n| c | 3 |\n\nEnd.": "Got it.\n\na | b\n\nc | 3\n\nEnd.",
+    "See <a href='x' title=\"y z\" hidden>it</a> now.": "See it now.", "One <font size=\"2\" in a room, >> all.": "One  in a room, >> all.",
     "It is \\textbf{fine} here.": "It is fine here.", "Good <div class=\"x-y and more": "Good\n and more",
 }
 

@@ -465,7 +465,18 @@ def p5_review_pages(spark, folder):
     return skew.balanced_join(reviews, pages, "product_id", "doc_id", 200_000, "left").select("doc_id", "product_id", "num_pages")
 
 
-@core.query("p7_found")
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_BARE = r"""regexp_replace(regexp_replace({}, '^"|"$', '', 'g'), '^\s+|\s+$', '', 'g')"""
+FAILED_SQL = rf"""WITH f AS (SELECT rec_id, regexp_full_match(raw, '(?s){_FIELD}(?:,{_FIELD})*') AS well, regexp_full_match(raw, '(?s){_FIELD},{_FIELD},{_FIELD},{_FIELD}') AS four,
+       regexp_extract(raw, '(?s)^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', ['a', 'b', 'c', 'd']) AS v FROM (SELECT rec_id, coalesce(raw, '') AS raw FROM raw_records)),
+u AS (SELECT *, {_BARE.format("v.b")} AS votes, {_BARE.format("v.c")} AS score FROM f),
+r AS (SELECT rec_id, CASE WHEN NOT well THEN 'quoting' WHEN NOT four THEN 'columns'
+      WHEN NOT regexp_full_match(votes, '[0-9]+/[0-9]+') OR try_cast(split_part(votes, '/', 1) AS HUGEINT) > try_cast(split_part(votes, '/', 2) AS HUGEINT) THEN 'helpfulness'
+      WHEN NOT regexp_full_match(score, '[0-9]+([.][0-9]+)?') OR NOT coalesce(try_cast(score AS DOUBLE) BETWEEN 1 AND 5, false) THEN 'score' END AS reason FROM u)
+SELECT rec_id, reason FROM r WHERE reason IS NOT NULL"""
+
+
+@core.query("p7_found", FAILED_SQL)
 def p7_found(spark, folder):
     return records.valid_and_failed(read(spark, folder, "raw_records"))[1].select("rec_id", "reason")
 

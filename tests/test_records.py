@@ -55,3 +55,63 @@ def test_operator(spark):
 def test_whole_files(spark):
     df = spark.createDataFrame([("f1", 'a,1/2,3,x\nb,1/2,3,"y\nc,1/2,3,z'), ("f2", ""), ("f3", None)], "path string, content string")
     assert sorted((r.path, r.rec_id, r.reason) for r in records.parse_files(df).collect()) == [("f1", 0, None), ("f1", 10, "quoting"), ("f1", 21, None)]
+
+
+def brute_reason(raw):
+    """The same rules read character by character."""
+    import re
+
+    fields, value, state = [], "", "start"
+    for c in raw:
+        if state == "start":
+            if c == '"':
+                state = "quoted"
+            elif c == ",":
+                fields.append("")
+            else:
+                value, state = c, "plain"
+        elif state == "plain":
+            if c == '"':
+                return "quoting"
+            if c == ",":
+                fields.append(value)
+                value, state = "", "start"
+            else:
+                value += c
+        elif state == "quoted":
+            if c == '"':
+                state = "closed"
+            else:
+                value += c
+        elif c == '"':
+            value, state = value + c, "quoted"
+        elif c == ",":
+            fields.append(value)
+            value, state = "", "start"
+        else:
+            return "quoting"
+    if state == "quoted":
+        return "quoting"
+    fields.append(value)
+    if len(fields) != 4:
+        return "columns"
+    a, _, b = fields[1].strip().partition("/")
+    if not (re.fullmatch("[0-9]+", a) and re.fullmatch("[0-9]+", b) and int(a) <= int(b)):
+        return "helpfulness"
+    number = fields[2].strip()
+    if not re.fullmatch(r"[0-9]+(\.[0-9]+)?", number) or not 1 <= float(number) <= 5:
+        return "score"
+    return None
+
+
+FIELD = st.one_of(st.text('ab" \n', max_size=4), st.sampled_from(["1/2", " 2/1 ", "3", '"4.5"', " 5 ", "6", '"x,y"', '"a""b"', "0/0", '"1/9"']))
+
+
+@given(st.lists(FIELD, min_size=2, max_size=6).map(",".join))
+def test_rows_match_brute_force(raw):
+    assert records.parse_row(raw).reason == brute_reason(raw)
+
+
+@given(st.text('1/2,".5 \n', max_size=14))
+def test_random_rows_match_brute_force(raw):
+    assert records.parse_row(raw).reason == brute_reason(raw)

@@ -74,7 +74,7 @@ def p4_found(spark, folder):
 
 @llm.query("p4_cleaned")
 def p4_cleaned(spark, folder):
-    return markup.residue(_review_texts(spark, folder))
+    return markup.residue(_review_texts(spark, folder)).withColumn("roles", F.array_join("roles", " "))
 
 
 @llm.query("p8_found")

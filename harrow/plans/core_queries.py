@@ -117,10 +117,18 @@ def posting_gaps(spark, folder):
     f"WITH {POSTINGS_SQL} SELECT term, doc_id, doc_id AS decoded FROM po WHERE term IN ({SPLIT_TERMS})",
 )
 def posting_gaps_decoded(spark, folder):
+    """Four terms only, as its SQL; posting_gaps_decoded_all takes every term."""
     gaps = encoding.posting_gaps(_postings(spark, folder, ["the", "sturdy", "kettle", "warranty"]))
     return ordering.running_sum(gaps, ["term"], [F.col("doc_id")], "gap", "decoded").select("term", "doc_id", "decoded")
 
 
+@core.query("posting_gaps_decoded_all", f"WITH {POSTINGS_SQL} SELECT term, doc_id, doc_id AS decoded FROM po")
+def posting_gaps_decoded_all(spark, folder):
+    """The gaps of every term decoded again."""
+    gaps = encoding.posting_gaps(_postings(spark, folder))
+    return ordering.running_sum(gaps, ["term"], [F.col("doc_id")], "gap", "decoded").select("term", "doc_id", "decoded")
+
+
 @core.query(
     "scenario_postings",
     f"""WITH {POSTINGS_SQL}, t AS (SELECT term AS name, count(*) AS num_docs, sum(tf)::BIGINT AS num_tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc, sum(doc_id * tf)::BIGINT AS doc_sum FROM po GROUP BY term)

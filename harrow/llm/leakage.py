@@ -166,13 +166,48 @@ def align(item: np.ndarray, document: np.ndarray) -> tuple[int, int, int, int, i
     return int(i), item_end, int(j), document_end, equal
 
 
+def close_span(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int] | None:
+    """The longest run of the item's words, at least the least share, that the document holds with few enough edits.
+
+    As holds(), over every run of the item and not only the best alignment; words added in between are edits too. Runs
+    of which too many words are nowhere in the document are left out first, as no order of words could make them close.
+    """
+    size, columns = len(item), len(document)
+    least = max(1, int(np.ceil(size * LEAST_SHARE)))
+    absent = np.append(0, np.cumsum(~np.isin(item, document)))
+    over = absent - MOST_EDITS * np.arange(size + 1)
+    below = np.minimum.accumulate(over[::-1])[::-1]
+    best, shift = None, np.int64(columns + 1)
+    steps = np.arange(columns + 1) * shift
+    for start in np.flatnonzero(below[least:] <= over[: size + 1 - least] + 1e-9).tolist():
+        if best and size - start <= best[0]:
+            break
+        state = np.arange(columns + 1, dtype=np.int64)  # edits * shift + first word in the document
+        for end in range(start, size):
+            row = state + shift
+            row[1:] = np.minimum(row[1:], state[:-1] + np.where(document == item[end], 0, shift))
+            state = np.minimum.accumulate(row - steps) + steps
+            high = int((state // shift).argmin())
+            edits, low = divmod(int(state[high]), int(shift))
+            span = end + 1 - start
+            if edits > MOST_EDITS * (size - start) + 1e-9:
+                break
+            if span >= least and edits <= MOST_EDITS * span + 1e-9 and (best is None or span > best[0]):
+                best = (span, low, high)
+    return best and (best[0] / size, best[1], best[2])
+
+
 def holds(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int] | None:
-    """(part of the item, first and last+1 word in the document) of a passage long and close enough."""
+    """(part of the item, first and last+1 word in the document) of a passage long and close enough.
+
+    The best alignment may run over edits around a passage that is close enough without them, or lie elsewhere; where it
+    fails, close_span() looks for such a passage.
+    """
     start, end, low, high, equal = align(item, document)
     span = end - start
     if span and span + 1 >= len(item) * LEAST_SHARE and equal + 1 >= span * (1 - MOST_EDITS):
         return span / len(item), low, high
-    return None
+    return close_span(item, document)
 
 
 def best_passage(item: np.ndarray, document: np.ndarray, hits: np.ndarray) -> tuple[float, int, int] | None:

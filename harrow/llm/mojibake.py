@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,6 +31,7 @@ BUCKETS = 1 << 13
 #: A chain is tried if its log-probability is at most this far below that of clean text.
 MARGIN = 12.0
 RUN = re.compile(r"[^\x00-\x7f]+")
+PIECE = re.compile(r"[^\x00-\x7f\u2e80-\u9fff\uac00-\ud7a3\uff01-\uffee]+")
 #: Alphabets of the generated training words: fixed values, first and last code point.
 ALPHABETS = ((0xC0, 0xFF), (0xE0, 0xFC), (0xA1, 0xBF), (0x2010, 0x2026), (0x20AC, 0x20AC), (0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x3041, 0x3096), (0x4E00, 0x9FA0), (0x2190, 0x2265), (0x2500, 0x2606))
 
@@ -63,10 +65,11 @@ def _utf8_length(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
 
 
-def _undo(text: str, codec: str, case: str) -> tuple[str, int] | None:
+def _undo(text: str, codec: str, case: str, accept: Callable[[str, str, str], bool] | None = None) -> tuple[str, int] | None:
     """One reading undone: valid UTF-8 sequences are decoded, other characters stay; None unless one was decoded.
 
-    With a case change, each character may stand for the byte of either of its cases.
+    With a case change, each character may stand for the byte of either of its cases. accept: whether a decoded
+    character counts, given the garbled sequence and the character before it; else the plausible ones do.
     """
     back = _table(codec)[1]
 
@@ -85,7 +88,7 @@ def _undo(text: str, codec: str, case: str) -> tuple[str, int] | None:
                 char = bytes([lead, *(t[0] for t in tail)]).decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if _plausible(char):
+            if accept(char, text[at : at + size], text[at - 1 : at] if at else "") if accept else _plausible(char):
                 out.append(char)
                 at += size
                 decoded += 1
@@ -131,10 +134,46 @@ def undo(run: str, chain: tuple[str, ...], case: str = "") -> str | None:
     return text.lower() if case == "lower" else text.upper() if case == "upper" else text
 
 
+def garbled_beyond_restoring(before: str, run: str, chain: tuple[str, ...], case: str, above: float) -> bool:
+    """Whether a run that undo() gives up holds a garbled sequence all the same: an invisible sign, a ligature, a
+    combining accent, a single letter of a rare script, a mixture of scripts.
+
+    above: by how much the chain is likelier than clean text. Letters of one script may be a word, so a sequence must hold
+    another sign or script; a short one, or one whose case changed, must also be likelier than clean text. A combining accent needs
+    a letter before it and, where clean text is likelier, a capital after a small letter or a control character.
+    """
+
+    def accept(char: str, source: str, previous: str) -> bool:
+        previous, code, word = previous or before, ord(char), source.isalpha() and _one_script(source)
+        if unicodedata.category(char) in ("Cn", "Co", "Cs") or 0x250 <= code <= 0x2AF:
+            return False
+        if 0x300 <= code <= 0x36F:
+            odd = (previous.islower() and source[0].isupper()) or any(0x80 <= ord(c) < 0xA0 for c in source)
+            return previous.isalpha() and (odd or (above > 0 and not word))
+        return not word and (above > 0 or (not case and len(source) > 2))
+
+    text = run
+    for step, codec in enumerate(reversed(chain)):
+        result = _undo(text, codec, case if step == 0 else "", accept if step == len(chain) - 1 else None)
+        if result is None or (case and step == 0 and result[1] != len(result[0])):
+            return False
+        text = result[0]
+    return True
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in RUN.finditer(text)]
 
 
+def pieces(text: str) -> list[tuple[int, int, str, str]]:
+    """The runs without East Asian signs, which no wrong reading gives, with the characters around them."""
+    out = []
+    for m in PIECE.finditer(text):
+        around = (text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1])
+        out.append((*m.span(), *("" if RUN.match(c) else c for c in around)))
+    return out
+
+
 def _around(text: str, start: int, end: int) -> str:
     return text[max(0, start - 1) : end + 1]
 
@@ -202,9 +241,10 @@ class Repairer:
         self.span = lru_cache(maxsize=50_000)(self._span)
 
     def _span(self, before: str, run: str, after: str) -> list[tuple[float, str, str | None]]:
-        """The chains that a run verifies, best first, with score and original (None: lost); empty for clean text.
+        """The chains that a run verifies, best first, with score and original (None: not restored); empty for clean text.
 
-        A capital in the middle of a lower-case word counts against a chain.
+        A capital in the middle of a lower-case word counts against a chain. Where none gives the original, the likeliest
+        that finds a garbled sequence is the only one.
         """
         if "�" in run:
             return [(0.0, "lost", None)]
@@ -223,6 +263,12 @@ class Repairer:
             if (text := undo(run, chain, case)) is not None:
                 odd = (before.islower() and text[0].isupper()) or (after.islower() and text[-1].isupper() and before.isalpha())
                 fitting.append((score - 6.0 * odd, label, text))
+        if not fitting:
+            for label, score in ranked:
+                if score < clean - MARGIN:
+                    break
+                if label in self.chains and garbled_beyond_restoring(before, run, *self.chains[label], score - clean):
+                    return [(score, label, None)]
         return sorted(fitting, key=lambda f: -f[0])
 
     def repair(self, text: str) -> tuple[list[str], str, bool]:
@@ -230,10 +276,12 @@ class Repairer:
 
         Runs of one record mostly share a chain: the one that fits most of them, of these the likeliest, goes first.
         """
-        fits = [(a, b, f) for a, b in spans(text) if (f := self.span(text[a - 1 : a] if a else "", text[a:b], text[b : b + 1]))]
+        fits = [(a, b, f) for a, b, before, after in pieces(text) if (f := self.span(before, text[a:b], after))]
         total: dict[str, tuple[int, float]] = {}
         for _, _, fitting in fits:
-            for score, label, _ in fitting:
+            for score, label, original in fitting:
+                if original is None and label != "lost":
+                    continue
                 count, summed = total.get(label, (0, 0.0))
                 total[label] = (count + 1, summed + score)
         shared = max(total, key=lambda n: total[n], default="")

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from harrow.llm import leakage
+from harrow.llm import leakage, mojibake
 
 
 def hashed(words):
@@ -44,3 +45,28 @@ def test_close_spans_are_those_of_all_alignments():
                     best = max(best, b - a)
         found = leakage.close_span(np.array(item), np.array(document, dtype=int))
         assert round((found[0] if found else 0) * len(item)) == best
+
+
+CLEAN = ["Crème brûlée à la carte", "Der Händler für größere Räume", "¡Qué niña pequeña!", "It’s “fine” — really…", "Отличный чайник", "日本語の説明書", "★★★★☆"]
+UNRESTORED = ["\ufeffGood", "a\u200bb", "of\ufb01ce", "a \u05d0 b", "a \u0627 b", "a \u0e01 b", "cafe\u0301 x", "man\u0303ana", "u\u0308ber", "s\u030carm"]
+HARMLESS = ["LUNEDÌ”", "COSÌ…", "CAFÉ’S", "CAFÉ™", "«раз»", "рекомендую…", "чайник, Отличный", "FÜR…", "L’ÉTÉ", "日本É語", *UNRESTORED, "日本é語"]
+
+
+@pytest.fixture(scope="module")
+def repairer():
+    return mojibake.Repairer(mojibake.train(CLEAN))
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("text", UNRESTORED, ids=ascii)
+def test_garbled_signs_are_found_even_if_not_restored(repairer, text, codec):
+    assert repairer.repair(mojibake.garble(text, (codec,)))[0]
+
+
+def test_a_garbled_accent_among_other_scripts_is_restored(repairer):
+    assert repairer.repair("日本" + mojibake.garble("é", ("cp1252",)) + "語")[1:] == ("日本é語", True)
+
+
+@pytest.mark.parametrize("text", HARMLESS, ids=ascii)
+def test_correct_text_is_not_found(repairer, text):
+    assert repairer.repair(text) == ([], text, True)

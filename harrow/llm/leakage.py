@@ -5,8 +5,9 @@ compared within a Hamming radius of 3 by four blocks of 16 bits, of which one mu
 is lost. The exact similarity of weighted five-word shingles then drops pairs that share only common wording, and an
 alignment of the words gives passage and edits.
 
-Windows are as long as the run of words that every wanted passage must keep intact: of m words with at most m / 10
-changed or missing, some run between two edits has at least (m - e) / (e + 1) words. Windows as long as an item would
+Windows are as long as the run of words that every wanted passage must keep intact: of m words with at most e = m / 10
+changed or missing, some run between two edits has at least (m - e) / (e + 1) words; the least over all m counts. Items of
+up to 8 words, whose passages have no edits and may lack a shingle, have narrow windows of their own and no shingle test. Windows as long as an item would
 miss partial copies, whose fingerprints are far from the item's.
 """
 
@@ -26,7 +27,8 @@ GROUP_WORDS = 400_000
 CHUNK = 60_000
 #: Part of an item that a passage must hold, and part of the passage that may be changed or missing.
 LEAST_SHARE, MOST_EDITS = 0.5, 0.1
-#: Least weighted part of an item's shingles to go on: a half of which every tenth word is changed keeps 0.2 and more.
+#: Least weighted part of an item's shingles to go on: a half of a long item of which every tenth word is changed keeps
+#: 0.2 and more. Short items need less, see least_shingles().
 LEAST_SHINGLES = 0.12
 
 
@@ -55,14 +57,25 @@ def fingerprints(words: np.ndarray, table: np.ndarray, width: int) -> np.ndarray
     return np.packbits(total > 0, axis=1).view(">u8").astype(np.uint64).reshape(-1)
 
 
+def passages(length: int) -> list[tuple[int, int]]:
+    """(words, most edits) of every passage of an item that counts."""
+    return [(m, int(m * MOST_EDITS + 1e-9)) for m in range(max(1, int(np.ceil(length * LEAST_SHARE))), length + 1)]
+
+
+def kept_run(length: int) -> int:
+    """Words that every passage of an item of so many words keeps in one run."""
+    return min(-(-(m - e) // (e + 1)) for m, e in passages(length))
+
+
 def window_width(lengths: list[int]) -> int:
-    """Words that a passage of the least share of any item keeps in one run, 5 to 16."""
-    runs = []
-    for n in lengths:
-        m = max(1, int(np.ceil(n * LEAST_SHARE)))
-        e = int(m * MOST_EDITS)
-        runs.append(-(-(m - e) // (e + 1)))
-    return int(min(16, max(5, min(runs, default=8))))
+    """Words that every passage of any item keeps in one run, at most 16."""
+    return min(16, min(map(kept_run, lengths), default=8))
+
+
+def least_shingles(length: int) -> float:
+    """Part of an item's shingles to go on: what the passage with the fewest keeps, at most LEAST_SHINGLES."""
+    kept = min(max(0, m - SHINGLE + 1 - SHINGLE * e) for m, e in passages(length))
+    return min(LEAST_SHINGLES, kept / max(1, length - SHINGLE + 1))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -169,11 +182,13 @@ def align(item: np.ndarray, document: np.ndarray) -> tuple[int, int, int, int, i
 def close_span(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int] | None:
     """The longest run of the item's words, at least the least share, that the document holds with few enough edits.
 
-    As holds(), over every run of the item and not only the best alignment; words added in between are edits too. Runs
-    of which too many words are nowhere in the document are left out first, as no order of words could make them close.
+    As holds(), over every run of the item and not only the best alignment; words added in between are edits too. A run
+    begins and ends with words that are held, so one word may lack to the least share where edits are allowed. Runs of
+    which too many words are nowhere in the document are left out first, as no order of words could make them close.
     """
     size, columns = len(item), len(document)
     least = max(1, int(np.ceil(size * LEAST_SHARE)))
+    least -= least * MOST_EDITS >= 1
     absent = np.append(0, np.cumsum(~np.isin(item, document)))
     over = absent - MOST_EDITS * np.arange(size + 1)
     below = np.minimum.accumulate(over[::-1])[::-1]
@@ -184,25 +199,31 @@ def close_span(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int]
             break
         state = np.arange(columns + 1, dtype=np.int64)  # edits * shift + first word in the document
         for end in range(start, size):
-            row = state + shift
-            row[1:] = np.minimum(row[1:], state[:-1] + np.where(document == item[end], 0, shift))
-            state = np.minimum.accumulate(row - steps) + steps
-            high = int((state // shift).argmin())
-            edits, low = divmod(int(state[high]), int(shift))
+            same = document == item[end]
+            ends = np.flatnonzero(same)
             span = end + 1 - start
-            if edits > MOST_EDITS * (size - start) + 1e-9:
+            if len(ends) and span >= least and (best is None or span > best[0]):
+                at = ends[state[ends].argmin()]
+                edits, low = divmod(int(state[at]), int(shift))
+                if edits <= MOST_EDITS * span + 1e-9:
+                    best = (span, low, int(at) + 1)
+            changed = shift * (size + 1) if end == start else shift
+            row = state + changed
+            row[1:] = np.minimum(row[1:], state[:-1] + np.where(same, 0, changed))
+            state = np.minimum.accumulate(row - steps) + steps
+            if state.min() // shift > MOST_EDITS * (size - start) + 1e-9:
                 break
-            if span >= least and edits <= MOST_EDITS * span + 1e-9 and (best is None or span > best[0]):
-                best = (span, low, high)
     return best and (best[0] / size, best[1], best[2])
 
 
 def holds(item: np.ndarray, document: np.ndarray) -> tuple[float, int, int] | None:
     """(part of the item, first and last+1 word in the document) of a passage long and close enough.
 
-    The best alignment may run over edits around a passage that is close enough without them, or lie elsewhere; where it
+    Items without a run of SHINGLE words in each passage are searched exactly. In others, the best alignment may run over edits around a passage that is close enough without them, or lie elsewhere; where it
     fails, close_span() looks for such a passage.
     """
+    if kept_run(len(item)) < SHINGLE:
+        return close_span(item, document)
     start, end, low, high, equal = align(item, document)
     span = end - start
     if span and span + 1 >= len(item) * LEAST_SHARE and equal + 1 >= span * (1 - MOST_EDITS):
@@ -222,6 +243,8 @@ def best_passage(item: np.ndarray, document: np.ndarray, hits: np.ndarray) -> tu
         if found := holds(item, document[low : (stretch * 4 + 6) * size]):
             if best is None or found[0] > best[0]:
                 best = (found[0], found[1] + low, found[2] + low)
+            if best[0] == 1:
+                break
     return best
 
 
@@ -244,8 +267,9 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
     all_items = [(table["item_id"][i].as_py(), hashes[a:b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
     groups: list[list] = [[]]
     held = 0
-    for entry in all_items:
-        if held + len(entry[1]) > group_words and groups[-1]:
+    kinds = [min(SHINGLE, kept_run(len(words))) for _, words in all_items]  # short items would narrow the windows of all
+    for kind, entry in sorted(zip(kinds, all_items, strict=True), key=lambda k: k[0]):
+        if groups[-1] and (held + len(entry[1]) > group_words or kind != min(SHINGLE, kept_run(len(groups[-1][-1][1])))):
             groups.append([])
             held = 0
         groups[-1].append(entry)
@@ -256,6 +280,7 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
         def run(batches):
             index = ItemIndex(*sent.value).build()
             width = index.items.width
+            least = [least_shingles(len(w)) for w in index.items.words]
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -278,7 +303,7 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
                         own = known[codes[begin : edges[document + 1]]]
                         if document not in cut:
                             cut = {document: np.unique(shingles(own))}
-                        if index.similarity(item, cut[document]) >= LEAST_SHINGLES:
+                        if index.similarity(item, cut[document]) >= least[item]:
                             if passage := best_passage(index.items.words[item], own, np.array(near) - begin):
                                 out.append((document, index.items.ids[item], *passage))
                     columns = list(zip(*out, strict=True)) or [[]] * 5

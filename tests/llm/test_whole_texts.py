@@ -29,20 +29,23 @@ def test_an_intact_half_after_an_edited_copy_is_held():
 
 def test_close_spans_are_those_of_all_alignments():
     rng = random.Random(3)
-    for _ in range(60):
-        item = [rng.randint(0, 9) for _ in range(rng.randint(1, 24))]
-        document = [w for w in item for w in ([w] if rng.random() < 0.85 else [rng.randint(0, 9)] * rng.randint(0, 2))]
+    for _ in range(80):
+        item = [rng.randint(0, 9) for _ in range(rng.randint(1, 22))]
+        document = [w for w in item for w in ([w] if rng.random() < 0.9 else [rng.randint(0, 9)] * rng.randint(0, 2))]
         best = 0
         for a in range(len(item)):
-            for b in range(a + 1, len(item) + 1):
-                row = [0] * (len(document) + 1)
-                for w in item[a:b]:
-                    new = [row[0] + 1]
-                    for j, d in enumerate(document):
-                        new.append(min(row[j] + (d != w), row[j + 1] + 1, new[-1] + 1))
-                    row = new
-                if 2 * (b - a) >= len(item) and 10 * min(row) <= b - a:
-                    best = max(best, b - a)
+            for p in [p for p, d in enumerate(document) if d == item[a]]:
+                row = list(range(len(document) - p))
+                for b in range(a + 1, len(item) + 1):
+                    # row: edits from item[a + 1 : b - 1] to so many words after document[p]
+                    edits = min([0] if b == a + 1 else [e for e, d in zip(row, document[p + 1 :], strict=False) if d == item[b - 1]], default=99)
+                    if 2 * (b - a) >= len(item) - 2 * (len(item) >= 19) and 10 * edits <= b - a:
+                        best = max(best, b - a)
+                    if b > a + 1:
+                        new = [row[0] + 1]
+                        for j, d in enumerate(document[p + 1 :]):
+                            new.append(min(row[j] + (d != item[b - 1]), row[j + 1] + 1, new[-1] + 1))
+                        row = new
         found = leakage.close_span(np.array(item), np.array(document, dtype=int))
         assert round((found[0] if found else 0) * len(item)) == best
 
@@ -70,3 +73,25 @@ def test_a_garbled_accent_among_other_scripts_is_restored(repairer):
 @pytest.mark.parametrize("text", HARMLESS, ids=ascii)
 def test_correct_text_is_not_found(repairer, text):
     assert repairer.repair(text) == ([], text, True)
+
+
+def test_passages_of_short_items_are_found(spark):
+    rng = random.Random(8)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 19, 20, 25, 38, 40, 60)}
+    documents, wanted = [], set()
+    for n, words in items.items():
+        for size in range((n + 1) // 2, n + 1):
+            passage, edits = words[:size], size // 10
+            for e in range(edits):
+                passage[(e + 1) * size // (edits + 1)] = "changed"
+            documents.append((len(documents), " ".join([*(f"f{rng.randint(0, 400)}" for _ in range(50)), *passage, "end"])))
+            wanted.add((len(documents) - 1, n))
+        if n > 2:
+            documents.append((len(documents), " ".join(["f", *words[: (n - 1) // 2 - (n > 8)], "end"])))
+    items_df = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = leakage.leaked(spark.createDataFrame(documents, "doc_id long, text string"), items_df).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted
+
+
+def test_widths_are_those_of_the_shortest_kept_run():
+    assert [leakage.window_width([n]) for n in (1, 4, 8, 38)] == [1, 2, 4, 6] and leakage.window_width(list(range(66, 178))) == 8

@@ -492,3 +492,17 @@ def p7_found(spark, folder):
 @core.query("p7_loaded")
 def p7_loaded(spark, folder):
     return records.valid_and_failed(read(spark, folder, "raw_records"))[0]
+
+
+@core.query("p7_exports")
+def p7_exports(spark, folder):
+    """The records of each src_file as one export text, in order of rec_id and a line break after each, parsed with
+    recovery: (src_file, start, reason, position) and the values; start and position count characters of the text.
+
+    A file goes through one task, as in parse_files(). Line breaks end plain fields here, unlike in p7_found.
+    """
+    lines = F.sort_array(F.collect_list(F.struct("rec_id", F.coalesce("raw", F.lit("")).alias("raw"))))
+    raw = read(spark, folder, "raw_records")
+    texts = raw.groupBy("src_file").agg(F.concat(F.array_join(F.transform(lines, lambda r: r["raw"]), "\n"), F.lit("\n")).alias("content"))
+    parsed = records.parse_files(texts.withColumnRenamed("src_file", "path"))
+    return parsed.withColumnsRenamed({"path": "src_file", "rec_id": "start"})

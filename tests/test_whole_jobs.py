@@ -24,3 +24,12 @@ def tokens(doc):
 def test_gaps_of_every_term_are_decoded(spark, folder):
     found = entry.queries()["posting_gaps_decoded_all"](spark, folder).collect()
     assert sorted(map(tuple, found)) == sorted((t, d, d) for d in TEXTS for t in set(tokens(d)))
+
+
+def test_exports_recover_after_a_broken_record(spark, tmp_path):
+    rows = [(3, "b", "x,1/1,4,two"), (1, "a", "p,1/2,5,one"), (2, "a", 'q,1/2,"5,never closed'), (4, "a", 'r,0/0,1,"last, of\nall"'), (5, "b", None), (6, "b", "y,2/1,3,z")]
+    spark.createDataFrame(rows, "rec_id long, src_file string, raw string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    found = entry.queries()["p7_exports"](spark, str(tmp_path)).collect()
+    assert sorted((r.src_file, r.start, r.reason, r.text) for r in found) == [
+        ("a", 0, None, "one"), ("a", 12, "quoting", None), ("a", 34, None, "last, of\nall"), ("b", 0, None, "two"), ("b", 12, "columns", None), ("b", 13, "helpfulness", None),
+    ]

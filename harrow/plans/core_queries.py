@@ -17,6 +17,7 @@ core = Registry()
 #: One query as typed: repeated, mixed case, everyday, rare and unknown terms.
 TERMS = ["the", "sturdy", "kettle", "Kettle", "kettle", "warranty", "zzz"]
 KNOWN = ["sturdy", "kettle", "Kettle", "warranty"]
+EVERYDAY = ["the", *KNOWN]
 K = 20
 MIXTURE = 0.4
 SPLIT_TERMS = "'the','sturdy','kettle','warranty'"
@@ -318,7 +319,7 @@ def batch_vector_search(spark, folder):
     return rank.top_k(scores, 10).withColumn("score", F.round("score", 9))
 
 
-def _language_model(spark: SparkSession, folder: str, query: DataFrame, terms: list[str] | None) -> DataFrame:
+def _language_model(spark: SparkSession, folder: str, query: DataFrame, terms: list[str] | DataFrame | None) -> DataFrame:
     reviews = _reviews(spark, folder)
     posted, length = index.postings(reviews, terms), index.lengths(reviews)
     return rank.language_model_scores(query, index.dictionary(posted), posted, length, length.agg(F.sum("num_tokens")).scalar(), MIXTURE)
@@ -349,6 +350,47 @@ def language_model_unknown(spark, folder):
     return rank.top_k(_language_model(spark, folder, rank.query_table(spark, TERMS), _lower(TERMS)), K)
 
 
+#: The logarithm of a score, null for 0: a query with a term that no review has.
+LOG_SQL = "CASE WHEN score > 0 THEN log10(CASE WHEN score > 0 THEN score ELSE 1 END) END"
+
+
+@core.query("batch_language_model_scores", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LM_SQL} SELECT query_id, doc_id, round({LOG_SQL}, 6) AS log_score FROM lm")
+def batch_language_model_scores(spark, folder):
+    query = read(spark, folder, "query_terms")
+    return _language_model(spark, folder, query, query).select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
+
+
+@core.query(
+    "batch_language_model_search",
+    f"""WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LM_SQL} SELECT query_id, doc_id, round({LOG_SQL}, 6) AS log_score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round({LOG_SQL}, 12) DESC NULLS LAST, doc_id)::INTEGER AS rank FROM lm QUALIFY rank <= 10""",
+)
+def batch_language_model_search(spark, folder):
+    """Every query of query_terms; one with a term that no review has comes in order of doc_id, without scores."""
+    query = read(spark, folder, "query_terms")
+    best = rank.top_k(_language_model(spark, folder, query, query).withColumn("score", F.log10("score")), 10)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("log_score"), "rank")
+
+
+@core.query("language_model_everyday", f"WITH {POSTINGS_SQL}, {_values(EVERYDAY)}, {LM_SQL} SELECT query_id, doc_id, round(log10(score), 6) AS log_score FROM lm")
+def language_model_everyday(spark, folder):
+    """Scores of every review that holds an everyday or another of the known terms."""
+    scores = _language_model(spark, folder, rank.query_table(spark, EVERYDAY), _lower(EVERYDAY))
+    return scores.select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
+
+
+@core.query("batch_term_doc_freqs", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, doc_id, tf FROM qc JOIN po USING (term)")
+def batch_term_doc_freqs(spark, folder):
+    query = read(spark, folder, "query_terms")
+    return rank.term_doc_frequencies(query, index.postings(_reviews(spark, folder), query))
+
+
+@core.query("batch_doc_lnn", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, doc_id, raw_term, round(1 + log10(tf), 9) AS weight FROM qc JOIN po USING (term)")
+def batch_doc_lnn(spark, folder):
+    query = read(spark, folder, "query_terms")
+    return rank.doc_lnn(query, index.postings(_reviews(spark, folder), query)).withColumn("weight", F.round("weight", 9))
+
+
 @core.query("product_relevance", f"WITH {POSTINGS_SQL}, {_values(TERMS)}, {LTC_SQL}, {REL_SQL} SELECT query_id, product_id, round(relevance, 9) AS relevance FROM re")
 def product_relevance(spark, folder):
     reviews = _reviews(spark, folder)

@@ -1,5 +1,6 @@
 """Queries over all the rows of a small data folder, against plain Python."""
 
+import math
 import re
 
 import pytest
@@ -8,12 +9,15 @@ import __spark_entry__ as entry
 
 TEXTS = {1: "The kettle leaks, the KETTLE hums", 2: "Sturdy kettle", 3: "a sturdy lid", 5: None, 7: "the lid", 70000: "the lid of the kettle"}
 
+QUERIES = {1: ["the", "Lid"], 2: ["kettle", "Kettle", "sturdy"], 3: ["zzz", "lid"], 4: ["the"]}
+
 
 @pytest.fixture(scope="module")
-def folder(make_reviews, tmp_path_factory):
+def folder(spark, make_reviews, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("data"))
     rows = [(d, "p1" if d < 3 else "P0" if d == 3 else None if d == 5 else "p2", 1, 2, 5, t) for d, t in TEXTS.items()]
     make_reviews([*rows, (1, "p1", 1, 2, 5, TEXTS[1], 3)]).drop("term", "tf", "weight", "mark", "rank").write.parquet(f"{path}/reviews.parquet")
+    spark.createDataFrame([(q, t) for q, terms in QUERIES.items() for t in terms], "query_id int, term string").write.parquet(f"{path}/query_terms.parquet")
     return path
 
 
@@ -33,3 +37,39 @@ def test_exports_recover_after_a_broken_record(spark, tmp_path):
     assert sorted((r.src_file, r.start, r.reason, r.text) for r in found) == [
         ("a", 0, None, "one"), ("a", 12, "quoting", None), ("a", 34, None, "last, of\nall"), ("b", 0, None, "two"), ("b", 12, "columns", None), ("b", 13, "helpfulness", None),
     ]
+
+
+def language_model(terms):
+    """doc_id to score, over the reviews with any of the terms."""
+    every = [t for d in TEXTS for t in tokens(d)]
+    wanted = {t.lower() for t in terms}
+    return {
+        d: math.prod(0.4 * tokens(d).count(t.lower()) / len(tokens(d)) + 0.6 * every.count(t.lower()) / len(every) for t in set(terms))
+        for d in TEXTS if wanted & set(tokens(d))
+    }
+
+
+def log(score):
+    return round(math.log10(score), 6) if score else None
+
+
+def test_language_model_takes_every_query(spark, folder):
+    queries = entry.queries()
+    scores = {(r.query_id, r.doc_id): r.log_score for r in queries["batch_language_model_scores"](spark, folder).collect()}
+    assert scores == {(q, d): log(s) for q, terms in QUERIES.items() for d, s in language_model(terms).items()}
+    best = {(r.query_id, r.rank): (r.doc_id, r.log_score) for r in queries["batch_language_model_search"](spark, folder).collect()}
+    ordered = {q: sorted(language_model(terms).items(), key=lambda x: (-round(x[1], 15), x[0])) for q, terms in QUERIES.items()}
+    assert best == {(q, i + 1): (d, log(s)) for q, found in ordered.items() for i, (d, s) in enumerate(found[:10])}
+
+
+def test_term_frequencies_of_every_query(spark, folder):
+    queries = entry.queries()
+    wanted = {(q, t, d): tokens(d).count(t.lower()) for q, terms in QUERIES.items() for t in terms for d in TEXTS if t.lower() in tokens(d)}
+    assert {(r.query_id, r.raw_term, r.doc_id): r.tf for r in queries["batch_term_doc_freqs"](spark, folder).collect()} == wanted
+    found = queries["batch_doc_lnn"](spark, folder).collect()
+    assert {(r.query_id, r.raw_term, r.doc_id): r.weight for r in found} == {k: round(1 + math.log10(n), 9) for k, n in wanted.items()}
+
+
+def test_language_model_takes_an_everyday_term(spark, folder):
+    rows = entry.queries()["language_model_everyday"](spark, folder).collect()
+    assert {1, 2, 3, 7, 70000} == {r.doc_id for r in rows}

@@ -26,10 +26,16 @@ def p1_terms(spark, folder):
 
 @llm.query("p1_ngrams", sql.P1_NGRAMS)
 def p1_ngrams(spark, folder):
-    """Runs of up to three terms that occur in 5 reviews or more."""
+    """Runs of up to three terms that occur in 5 reviews or more, as its SQL; p1_ngrams_all has every run."""
     return ngrams.review_ngrams(read(spark, folder, "reviews"), 3).where("num_terms > 0 and df >= 5")
 
 
+@llm.query("p1_ngrams_all", sql.P1_NGRAMS_ALL)
+def p1_ngrams_all(spark, folder):
+    """Every run of up to three terms, the rare and the common ones marked."""
+    return ngrams.marked(cut(ngrams.review_ngrams(read(spark, folder, "reviews"), 3)))
+
+
 @llm.query("p2_found", sql.P2_FOUND)
 def p2_found(spark, folder):
     return weights.term_weights(distinct_reviews(read(spark, folder, "reviews"), ["text"]), best=True).select("doc_id", "term")

@@ -13,6 +13,10 @@ P1_FOUND = f"SELECT term, mark FROM (WITH {_REVIEWS} SELECT term, {_MARK} FROM d
 P1_NGRAMS = f"""WITH {_REVIEWS},
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(terms) - w + 2), lambda i: array_to_string(terms[i:i + w - 1], ' '))) AS ngram, w AS num_terms FROM tk, (VALUES (1), (2), (3)) v(w) WHERE len(terms) >= w)
 SELECT ngram, num_terms::INTEGER AS num_terms, count(DISTINCT doc_id) AS df, count(*) AS cf FROM g GROUP BY ngram, num_terms HAVING count(DISTINCT doc_id) >= 5"""
+P1_NGRAMS_ALL = f"""WITH {_REVIEWS},
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(terms) - w + 2), lambda i: array_to_string(terms[i:i + w - 1], ' '))) AS ngram, w AS num_terms FROM tk, (VALUES (1), (2), (3)) v(w) WHERE len(terms) >= w),
+c AS (SELECT ngram, num_terms::INTEGER AS num_terms, count(DISTINCT doc_id) AS df, count(*) AS cf FROM g GROUP BY ngram, num_terms)
+SELECT ngram, num_terms, df, cf, {_MARK} FROM c, nn"""
 P2_FOUND = f"""WITH {_REVIEWS}, w AS (SELECT doc_id, term, round((1 + log10(tf)) * log10(n::DOUBLE / df), 12) AS weight FROM po JOIN di USING (term), nn WHERE df >= 2)
 SELECT doc_id, term FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) = 1"""
 P2_WEIGHTS = f"""WITH {_REVIEWS}, l AS (SELECT doc_id, sum(tf) AS len FROM po GROUP BY doc_id), t AS (SELECT sum(cf)::DOUBLE AS total FROM di),

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from harrow.llm import leakage, mojibake
 
 
@@ -95,3 +96,15 @@ def test_passages_of_short_items_are_found(spark):
 
 def test_widths_are_those_of_the_shortest_kept_run():
     assert [leakage.window_width([n]) for n in (1, 4, 8, 38)] == [1, 2, 4, 6] and leakage.window_width(list(range(66, 178))) == 8
+
+
+def test_rare_runs_are_marked_and_not_left_out(spark, make_reviews, tmp_path):
+    texts = ["a b a b", "a b", "b a", "c", None, "a b c"]
+    make_reviews([(d, "p", 1, 1, 5, t) for d, t in enumerate(texts)]).write.parquet(f"{tmp_path}/reviews.parquet")
+    docs = [t.split() for t in texts if t is not None]
+    runs = [(d, " ".join(w[i : i + n]), n) for d, w in enumerate(docs) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    wanted = set()
+    for gram, n in {(g, n) for _, g, n in runs}:
+        df, cf = len({d for d, g, _ in runs if g == gram}), sum(g == gram for _, g, _ in runs)
+        wanted.add((gram, n, df, cf, "rare" if df < 3 else "common" if df > 0.2 * len(docs) else None))
+    assert {tuple(r) for r in entry.queries()["p1_ngrams_all"](spark, str(tmp_path)).collect()} == wanted

@@ -210,10 +210,17 @@ def product_ranges(spark, folder):
     f"WITH {REVIEWS_SQL}, f AS (SELECT min(product_id) AS product_id FROM rv) SELECT product_id, doc_id FROM rv JOIN f USING (product_id)",
 )
 def product_reviews(spark, folder):
+    """The first product only, as its SQL; product_reviews_all lists every product."""
     reviews = _reviews(spark, folder, False)
     return reviews.where(F.col("product_id") == reviews.agg(F.min("product_id")).scalar()).select("product_id", "doc_id")
 
 
+@core.query("product_reviews_all", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id FROM rv WHERE product_id IS NOT NULL")
+def product_reviews_all(spark, folder):
+    """The reviews of every product."""
+    return _reviews(spark, folder, False).where("product_id is not null").select("product_id", "doc_id")
+
+
 @core.query("product_rank", f"WITH {POSTINGS_SQL} SELECT product_id, round(rank, 9) AS product_rank FROM pr")
 def product_rank(spark, folder):
     return index.products(_reviews(spark, folder, False)).select("product_id", F.round("rank", 9).alias("product_rank"))

@@ -73,3 +73,8 @@ def test_term_frequencies_of_every_query(spark, folder):
 def test_language_model_takes_an_everyday_term(spark, folder):
     rows = entry.queries()["language_model_everyday"](spark, folder).collect()
     assert {1, 2, 3, 7, 70000} == {r.doc_id for r in rows}
+
+
+def test_reviews_of_every_product_are_listed(spark, folder):
+    found = entry.queries()["product_reviews_all"](spark, folder).collect()
+    assert sorted(map(tuple, found)) == [("P0", 3), ("P1", 1), ("P1", 2), ("P2", 7), ("P2", 70000)]

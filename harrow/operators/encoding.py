@@ -24,8 +24,11 @@ def group_varint_sizes(gaps: DataFrame) -> DataFrame:
 
 
 def front_coding(dictionary: DataFrame, block: int = 4) -> DataFrame:
-    """(term_index, term, block_pos, prefix_length, suffix_length): the prefix is shared with the term before in its block."""
-    placed = number_terms(dictionary.select("term"))
+    """(term_index, term, block_pos, prefix_length, suffix_length): the prefix is shared with the term before in its block.
+
+    Terms are numbered here where the dictionary has no term_index.
+    """
+    placed = dictionary.select("term", "term_index") if "term_index" in dictionary.columns else number_terms(dictionary.select("term"))
     number = F.col("term_index")
     blocked = placed.withColumn("__block", F.floor(number / block))
     before = F.lag("term").over(Window.partitionBy("__block").orderBy("term_index"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions.text import helpfulness_weight, raw_tokens
 from harrow.operators.ordering import number_rows
+from harrow.plans.durable import cut, remove
 
 TABLES = ("reviews", "postings", "dictionary", "products", "stats")
 
@@ -54,9 +55,7 @@ def products(reviews: DataFrame) -> DataFrame:
 
 def stats(reviews: DataFrame) -> DataFrame:
     """One row: num_reviews, total_tokens, unique_terms, num_pairs; zeros for no reviews."""
-    posted = postings(reviews)
-    by_term = dictionary(posted).agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_pairs"))
-    return by_term.select(reviews.agg(F.count("*")).scalar().alias("num_reviews"), "total_tokens", "unique_terms", "num_pairs")
+    return _stats_of(dictionary(postings(reviews)), reviews)
 
 
 def number_terms(terms: DataFrame) -> DataFrame:
@@ -64,9 +63,16 @@ def number_terms(terms: DataFrame) -> DataFrame:
     return number_rows(terms, [F.col("term")], "term_index", 0)
 
 
+META = ("doc_id", "product_id", "helpfulness_num", "helpfulness_den", "score")
+
+
 @dataclass(frozen=True)
 class ReviewIndex:
-    """The five tables; build() plans them, save() writes them, load() opens them."""
+    """The five tables; build() makes the postings and plans the others, save() writes all, load() opens them.
+
+    postings: (term, doc_id, tf, num_tokens), with the length of the review, so that language models join nothing;
+    dictionary: (term, df, cf, term_index), term_index counting from 0 in byte order.
+    """
 
     reviews: DataFrame
     postings: DataFrame
@@ -75,35 +81,56 @@ class ReviewIndex:
     stats: DataFrame
 
     @classmethod
-    def build(cls, reviews: DataFrame) -> ReviewIndex:
-        """From canonical reviews."""
-        posted = postings(reviews)
-        described = reviews.select("doc_id", "product_id", "helpfulness_num", "helpfulness_den", "score", F.coalesce(F.size(raw_tokens(F.col("text"))), F.lit(0)).cast("long").alias("num_tokens"))
-        return cls(described, posted, dictionary(posted), products(reviews), stats(reviews))
+    def build(cls, reviews: DataFrame, described: DataFrame | None = None) -> ReviewIndex:
+        """From canonical reviews. described: the same without texts, where that is cheaper to read again.
+
+        Texts are read, shuffled and cut into tokens once, into postings in the shared folder.
+        """
+        described = (reviews if described is None else described).select(*META)
+        counted = reviews.select("doc_id", raw_tokens(F.col("text")).alias("__raw")).select("doc_id", F.size("__raw").cast("long").alias("num_tokens"), F.explode("__raw").alias("__raw"))
+        counted = counted.groupBy("doc_id", "num_tokens", F.lower("__raw").alias("term")).agg(F.count("*").alias("tf"))
+        posted = cut(counted.select("term", "doc_id", "tf", "num_tokens"))
+        length = posted.groupBy("doc_id").agg(F.max("num_tokens").alias("num_tokens"))
+        described = described.join(length, "doc_id", "left").withColumn("num_tokens", F.coalesce("num_tokens", F.lit(0)))
+        terms = number_terms(dictionary(posted))
+        return cls(described, posted, terms, products(described), _stats_of(terms, described))
 
     def save(self, path: str) -> None:
-        """Write all tables, replacing what is there. Postings are written first and the dictionary and the stats
-        come from the written files; ranges on (term, doc_id) cut frequent terms into several files with narrow
-        statistics, so a lookup reads few row groups."""
+        """Write all tables, replacing what is there. Each comes from the written ones before it.
+
+        Ranges on (term, doc_id) cut frequent terms into several files with narrow statistics, so a lookup reads few row
+        groups. Postings without term, doc_id or tf, which no index may hold, are an error; postings() and
+        merge_postings() never repeat a pair, other tables can be looked through by check_postings() before.
+        """
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        posted = spark.read.parquet(f"{path}/postings")
-        dictionary(posted).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/dictionary")
-        self.reviews.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/reviews")
-        self.products.repartitionByRange("product_id").sortWithinPartitions("product_id").write.mode("overwrite").parquet(f"{path}/products")
-        terms, reviews = spark.read.parquet(f"{path}/dictionary"), spark.read.parquet(f"{path}/reviews")
-        totals = terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_pairs"))
-        totals.select(reviews.agg(F.count("*")).scalar().alias("num_reviews"), "*").write.mode("overwrite").parquet(f"{path}/stats")
+
+        def write(df: DataFrame, table: str, *order: str) -> DataFrame:
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/{table}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{table}")
+
+        posted = write(self.postings, "postings", "term", "doc_id")
+        faulty = posted.where(_fault().isNotNull()).select("term", "doc_id", "tf").first()
+        if faulty is not None:
+            raise ValueError(f"no index may hold the posting {tuple(faulty)}")
+        write(self.dictionary, "dictionary", "term")
+        reviews = write(self.reviews, "reviews", "doc_id")
+        write(products(reviews), "products", "product_id")
+        terms = spark.read.parquet(f"{path}/dictionary")
+        _stats_of(terms, reviews).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ReviewIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in TABLES))
 
 
+def _stats_of(terms: DataFrame, reviews: DataFrame) -> DataFrame:
+    totals = terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total_tokens"), F.count("*").alias("unique_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_pairs"))
+    return totals.select(reviews.agg(F.count("*")).scalar().alias("num_reviews"), "*")
+
+
 def remove_index(spark: SparkSession, path: str) -> None:
     """Delete an index folder; a missing one is no error."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    remove(spark, path)
 
 
 def merge_postings(blocks: DataFrame) -> DataFrame:
@@ -116,9 +143,13 @@ def merge_postings(blocks: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+def _fault():
+    fault = F.when(F.coalesce(F.col("term"), F.lit("")) == "", "term").when(F.coalesce(F.col("doc_id"), F.lit(0)) < 1, "doc_id")
+    return fault.when(F.coalesce(F.col("tf"), F.lit(0)) < 1, "tf")
+
+
 def check_postings(posted: DataFrame) -> DataFrame:
     """Rows that no index may hold, with the fault: null or empty term, doc_id or tf below 1, repeated pair."""
-    fault = F.when(F.coalesce(F.col("term"), F.lit("")) == "", "term").when(F.coalesce(F.col("doc_id"), F.lit(0)) < 1, "doc_id").when(F.coalesce(F.col("tf"), F.lit(0)) < 1, "tf")
-    single = posted.select("term", "doc_id", fault.alias("fault")).where("fault is not null")
+    single = posted.select("term", "doc_id", _fault().alias("fault")).where("fault is not null")
     twice = posted.groupBy("term", "doc_id").count().where("count > 1").select("term", "doc_id", F.lit("repeated").alias("fault"))
     return single.unionByName(twice)

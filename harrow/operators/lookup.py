@@ -59,11 +59,25 @@ class IndexReader:
 
     def get_index_of_token(self, token: str) -> int:
         """0-based place in byte order; for a missing token, minus (the place where it belongs) minus 1."""
-        before = self.index.dictionary.where(F.col("term") < token.lower()).count()
-        return before if self.get_token_frequency(token) else -before - 1
+        at = self._one(self.index.dictionary, "term", token.lower(), "term_index", -1)
+        return at if at >= 0 else -self.index.dictionary.where(F.col("term") < token.lower()).count() - 1
+
+    def get_term(self, term_index: int) -> str | None:
+        """The term with a number of get_index_of_token(); None where no term has it."""
+        return self._one(self.index.dictionary, "term_index", term_index, "term", None)
+
+    def get_token_frequency_at(self, term_index: int) -> int:
+        return self._one(self.index.dictionary, "term_index", term_index, "df", 0)
+
+    def get_token_collection_frequency_at(self, term_index: int) -> int:
+        return self._one(self.index.dictionary, "term_index", term_index, "cf", 0)
+
+    def get_doc_ids_and_freqs(self, term_index: int) -> DataFrame:
+        """(doc_id, tf) of the term with a number, doc_id ascending."""
+        return self.get_reviews_with_token(self.get_term(term_index) or "")
 
     def terms(self) -> DataFrame:
         return self.index.dictionary.orderBy("term")
 
     def tokens(self) -> DataFrame:
-        return self.index.postings.orderBy("term", "doc_id")
+        return self.index.postings.select("term", "doc_id", "tf").orderBy("term", "doc_id")

@@ -25,6 +25,22 @@ def query_counts(query: DataFrame) -> DataFrame:
     return query.where("term is not null").groupBy("query_id", F.col("term").alias("raw_term")).agg(F.count("*").alias("qtf")).withColumn("term", F.lower("raw_term"))
 
 
+#: Queries with at most so many distinct terms reach the scan of the postings as filters; larger ones are joined.
+PUSHED_TERMS = 1000
+
+
+def of_query(postings: DataFrame, query: DataFrame) -> DataFrame:
+    """The postings of a query table's terms. Up to PUSHED_TERMS terms go into the scan, ten to a condition, as Parquet
+    compares longer lists with row groups by their ends only; more are left to the join that follows."""
+    terms = [r[0] for r in query.where("term is not null").select(F.lower("term")).distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(terms) > PUSHED_TERMS:
+        return postings
+    wanted = F.lit(False)
+    for at in range(0, len(terms), 10):
+        wanted = wanted | F.col("term").isin(sorted(terms)[at : at + 10])
+    return postings.where(wanted)
+
+
 def query_ltc(query: DataFrame, dictionary: DataFrame, num_reviews: Column) -> DataFrame:
     """(query_id, raw_term, term, weight): (1 + log10 qtf) * log10(N / df), scaled to length 1 within the query.
 
@@ -73,18 +89,20 @@ def term_doc_frequencies(query: DataFrame, postings: DataFrame) -> DataFrame:
     return query_counts(query).join(postings, "term").select("query_id", "raw_term", "doc_id", "tf")
 
 
-def language_model_scores(query: DataFrame, dictionary: DataFrame, postings: DataFrame, lengths: DataFrame, total_tokens: Column, mixture: float) -> DataFrame:
+def language_model_scores(query: DataFrame, dictionary: DataFrame, postings: DataFrame, lengths: DataFrame | None, total_tokens: Column, mixture: float) -> DataFrame:
     """(query_id, doc_id, score): product over distinct terms of mixture * tf / length + (1 - mixture) * cf / T.
 
     Only reviews with at least one of the terms; a term that no review has makes every score 0. The terms of a query
-    travel as one array, so reviews meet their query by an equality join and terms they lack cost no row.
+    travel as one array, so reviews meet their query by an equality join and terms they lack cost no row. lengths:
+    (doc_id, num_tokens), or None where the postings have num_tokens, as those of an index do.
     """
     counted = query_counts(query).join(dictionary.select("term", "cf"), "term", "left")
     entry = F.struct("raw_term", "term", (F.coalesce("cf", F.lit(0)) / total_tokens).alias("background"))
     whole = counted.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
     wanted = query_counts(query).select("query_id", "term").distinct()
-    hits = postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("__tf"))
-    met = hits.join(lengths, "doc_id").join(whole, "query_id")
+    length = [] if lengths is not None else [F.max("num_tokens").alias("num_tokens")]
+    hits = postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("__tf"), *length)
+    met = (hits if lengths is None else hits.join(lengths, "doc_id")).join(whole, "query_id")
 
     def factor(product: Column, e: Column) -> Column:
         own = F.coalesce(F.try_element_at(F.col("__tf"), e["term"]), F.lit(0)) / F.col("num_tokens")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.operators.index import ReviewIndex, remove_index
 from harrow.operators.ordering import number_rows
+from harrow.plans.durable import cut, shared_folder
 from harrow.sources.review_text import parse_records, read_records
-from harrow.sources.tables import canonical_reviews
+from harrow.sources.tables import canonical_reviews, read
+
+__all__ = ["build_from_file", "build_from_table", "remove_index", "review_index"]
 
-__all__ = ["build_from_file", "build_from_table", "remove_index"]
+#: Indexes of this process: (application, folder, what its review files are) -> the opened index.
+_opened: dict[tuple, ReviewIndex] = {}
 
 
 def number_records(records: DataFrame) -> DataFrame:
@@ -23,11 +29,29 @@ def build_from_file(spark: SparkSession, path: str, folder: str) -> ReviewIndex:
     """Parse line-oriented review text, number the reviews, write the index and open it. Errors are raised."""
     parsed = parse_records(number_records(read_records(spark, path)), ["doc_id"])
     reviews = parsed.withColumn("product_id", F.when(F.col("product_id") != "", F.col("product_id")))
+    reviews = cut(reviews)
     ReviewIndex.build(reviews).save(folder)
     return ReviewIndex.load(spark, folder)
 
 
 def build_from_table(reviews: DataFrame, folder: str) -> ReviewIndex:
     """The same from a table of reviews, whose doc_id stay."""
-    ReviewIndex.build(canonical_reviews(reviews)).save(folder)
+    ReviewIndex.build(canonical_reviews(reviews), canonical_reviews(reviews, False)).save(folder)
     return ReviewIndex.load(reviews.sparkSession, folder)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Number, size, last change and a hash of the files of a table; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    row = files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return tuple(row)
+
+
+def review_index(spark: SparkSession, folder: str) -> ReviewIndex:
+    """The index of the reviews of a data folder: built in the shared folder at the first call of an application, opened
+    after that, built again where the review files have changed."""
+    key = (spark.sparkContext.applicationId, folder, *_files(spark, f"{folder}/reviews.parquet"))
+    if key not in _opened:
+        name = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        _opened[key] = build_from_table(read(spark, folder, "reviews"), name)
+    return _opened[key]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions import codecs, text
-from harrow.operators import encoding, index, ordering, rank, scenario, skew
+from harrow.operators import encoding, index, lookup, ordering, rank, scenario, skew
+from harrow.plans.build import build_from_table, review_index
 from harrow.plans.durable import shared_folder
 from harrow.plans.registry import Registry
 from harrow.sources import records, review_text
@@ -20,7 +24,6 @@ KNOWN = ["sturdy", "kettle", "Kettle", "warranty"]
 EVERYDAY = ["the", *KNOWN]
 K = 20
 MIXTURE = 0.4
-SPLIT_TERMS = "'the','sturdy','kettle','warranty'"
 
 REVIEWS_SQL = """
 rv0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY received_at DESC) AS nth FROM reviews),
@@ -73,12 +76,8 @@ def _dictionary(spark: SparkSession, folder: str, terms: list[str] | None = None
     return index.dictionary(_postings(spark, folder, terms))
 
 
-def _lower(terms: list[str]) -> list[str]:
-    return sorted({t.lower() for t in terms})
-
-
-def _count(reviews: DataFrame):
-    return reviews.agg(F.count("*")).scalar()
+def _num_reviews(opened: index.ReviewIndex):
+    return opened.stats.select("num_reviews").scalar()
 
 
 @core.query("tokenize", f"WITH {REVIEWS_SQL} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)), ' ') AS tokens FROM rv")
@@ -110,23 +109,13 @@ def postings_merge(spark, folder):
 
 @core.query("posting_gaps", f"WITH {POSTINGS_SQL} SELECT term, doc_id, tf, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM po")
 def posting_gaps(spark, folder):
-    return encoding.posting_gaps(_postings(spark, folder))
+    return encoding.posting_gaps(review_index(spark, folder).postings)
 
 
-@core.query(
-    "posting_gaps_decoded",
-    f"WITH {POSTINGS_SQL} SELECT term, doc_id, doc_id AS decoded FROM po WHERE term IN ({SPLIT_TERMS})",
-)
+@core.query("posting_gaps_decoded", f"WITH {POSTINGS_SQL} SELECT term, doc_id, doc_id AS decoded FROM po")
 def posting_gaps_decoded(spark, folder):
-    """Four terms only, as its SQL; posting_gaps_decoded_all takes every term."""
-    gaps = encoding.posting_gaps(_postings(spark, folder, ["the", "sturdy", "kettle", "warranty"]))
-    return ordering.running_sum(gaps, ["term"], [F.col("doc_id")], "gap", "decoded").select("term", "doc_id", "decoded")
-
-
-@core.query("posting_gaps_decoded_all", f"WITH {POSTINGS_SQL} SELECT term, doc_id, doc_id AS decoded FROM po")
-def posting_gaps_decoded_all(spark, folder):
     """The gaps of every term decoded again."""
-    gaps = encoding.posting_gaps(_postings(spark, folder))
+    gaps = encoding.posting_gaps(review_index(spark, folder).postings).select("term", "doc_id", "gap")
     return ordering.running_sum(gaps, ["term"], [F.col("doc_id")], "gap", "decoded").select("term", "doc_id", "decoded")
 
 
@@ -149,17 +138,17 @@ def dictionary_table(spark, folder):
 
 @core.query("dictionary_index", f"WITH {POSTINGS_SQL} SELECT term, df, cf, row_number() OVER (ORDER BY term) - 1 AS term_index FROM di")
 def dictionary_index(spark, folder):
-    return index.number_terms(_dictionary(spark, folder))
+    return review_index(spark, folder).dictionary
 
 
 @core.query("term_df", f"WITH {POSTINGS_SQL} SELECT term, df FROM di")
 def term_df(spark, folder):
-    return _dictionary(spark, folder).select("term", "df")
+    return review_index(spark, folder).dictionary.select("term", "df")
 
 
 @core.query("term_cf", f"WITH {POSTINGS_SQL} SELECT term, cf FROM di")
 def term_cf(spark, folder):
-    return _dictionary(spark, folder).select("term", "cf")
+    return review_index(spark, folder).dictionary.select("term", "cf")
 
 
 @core.query(
@@ -168,7 +157,7 @@ def term_cf(spark, folder):
     SELECT term, num_chars FROM t WHERE before IS NULL OR num_chars > before""",
 )
 def term_length_records(spark, folder):
-    return encoding.term_length_records(_dictionary(spark, folder))
+    return encoding.term_length_records(review_index(spark, folder).dictionary)
 
 
 @core.query(
@@ -205,20 +194,10 @@ def product_ranges(spark, folder):
     return index.products(_reviews(spark, folder, False)).drop("rank")
 
 
-@core.query(
-    "product_reviews",
-    f"WITH {REVIEWS_SQL}, f AS (SELECT min(product_id) AS product_id FROM rv) SELECT product_id, doc_id FROM rv JOIN f USING (product_id)",
-)
+@core.query("product_reviews", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id FROM rv WHERE product_id IS NOT NULL")
 def product_reviews(spark, folder):
-    """The first product only, as its SQL; product_reviews_all lists every product."""
-    reviews = _reviews(spark, folder, False)
-    return reviews.where(F.col("product_id") == reviews.agg(F.min("product_id")).scalar()).select("product_id", "doc_id")
-
-
-@core.query("product_reviews_all", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id FROM rv WHERE product_id IS NOT NULL")
-def product_reviews_all(spark, folder):
     """The reviews of every product."""
-    return _reviews(spark, folder, False).where("product_id is not null").select("product_id", "doc_id")
+    return review_index(spark, folder).reviews.where("product_id is not null").select("product_id", "doc_id")
 
 
 @core.query("product_rank", f"WITH {POSTINGS_SQL} SELECT product_id, round(rank, 9) AS product_rank FROM pr")
@@ -258,30 +237,32 @@ def normalize_score(spark, folder):
 
 @core.query("postings_for_term", f"WITH {POSTINGS_SQL} SELECT doc_id, tf FROM po WHERE term = 'kettle'")
 def postings_for_term(spark, folder):
-    return _postings(spark, folder, ["kettle"]).select("doc_id", "tf")
+    return lookup.IndexReader(review_index(spark, folder)).get_reviews_with_token("Kettle")
 
 
 @core.query("corpus_freqs_for_terms", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, coalesce(cf, 0) AS cf FROM qc LEFT JOIN di USING (term)")
 def corpus_freqs_for_terms(spark, folder):
     query = read(spark, folder, "query_terms")
-    return rank.corpus_frequencies(query, index.dictionary(index.postings(_reviews(spark, folder), query)))
+    return rank.corpus_frequencies(query, rank.of_query(review_index(spark, folder).dictionary, query))
 
 
 @core.query("term_doc_freqs", f"WITH {POSTINGS_SQL}, {_values(KNOWN)}, {LTC_SQL} SELECT query_id, raw_term, doc_id, tf FROM qc JOIN po USING (term)")
 def term_doc_freqs(spark, folder):
-    return rank.term_doc_frequencies(rank.query_table(spark, KNOWN), _postings(spark, folder, _lower(KNOWN)))
+    query = rank.query_table(spark, KNOWN)
+    return rank.term_doc_frequencies(query, rank.of_query(review_index(spark, folder).postings, query))
 
 
 @core.query("query_ltc", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, term, round(weight, 9) AS weight FROM ltc")
 def query_ltc(spark, folder):
-    reviews, query = _reviews(spark, folder), read(spark, folder, "query_terms")
-    weights = rank.query_ltc(query, index.dictionary(index.postings(reviews, query)), _count(reviews))
+    opened, query = review_index(spark, folder), read(spark, folder, "query_terms")
+    weights = rank.query_ltc(query, rank.of_query(opened.dictionary, query), _num_reviews(opened))
     return weights.withColumn("weight", F.round("weight", 9))
 
 
 @core.query("doc_lnn", f"WITH {POSTINGS_SQL}, {_values(KNOWN)}, {LTC_SQL} SELECT query_id, doc_id, raw_term, round(1 + log10(tf), 9) AS weight FROM qc JOIN po USING (term)")
 def doc_lnn(spark, folder):
-    lnn = rank.doc_lnn(rank.query_table(spark, KNOWN), _postings(spark, folder, _lower(KNOWN)))
+    query = rank.query_table(spark, KNOWN)
+    lnn = rank.doc_lnn(query, rank.of_query(review_index(spark, folder).postings, query))
     return lnn.withColumn("weight", F.round("weight", 9))
 
 
@@ -292,19 +273,18 @@ def doc_lnn(spark, folder):
     FROM v a JOIN n USING (query_id) JOIN di d USING (term) GROUP BY a.query_id""",
 )
 def sparse_vector_ops(spark, folder):
-    reviews, query = _reviews(spark, folder), read(spark, folder, "query_terms")
-    terms = index.dictionary(index.postings(reviews, query))
-    counted = rank.query_counts(query).join(terms, "term")
-    weight = F.sum((1 + F.log10("qtf")) * F.log10(_count(reviews).cast("double") / F.col("df")))
+    opened, query = review_index(spark, folder), read(spark, folder, "query_terms")
+    counted = rank.query_counts(query).join(rank.of_query(opened.dictionary, query), "term")
+    weight = F.sum((1 + F.log10("qtf")) * F.log10(_num_reviews(opened).cast("double") / F.col("df")))
     vectors = counted.groupBy("query_id", "term").agg(weight.alias("weight"), F.max("cf").alias("cf"))
     unit = rank.normalized(vectors, "query_id").withColumnRenamed("weight", "unit")
     products = vectors.join(unit, ["query_id", "term"]).groupBy("query_id").agg(F.round(F.sum(F.col("weight") * F.col("cf")), 6).alias("dot"), F.round(F.sum(F.col("weight") * F.col("unit")), 9).alias("own_part"))
     return rank.norm(vectors, "query_id").join(products, "query_id").select("query_id", F.round("norm", 9).alias("norm"), "dot", "own_part")
 
 
-def _vector_scorer(reviews: DataFrame, terms: list[str] | DataFrame):
-    posted = index.postings(reviews, terms)
-    return lambda query: rank.vector_scores(rank.query_ltc(query, index.dictionary(posted), _count(reviews)), posted)
+def _vector_scores(opened: index.ReviewIndex, query: DataFrame) -> DataFrame:
+    weights = rank.query_ltc(query, rank.of_query(opened.dictionary, query), _num_reviews(opened))
+    return rank.vector_scores(weights, rank.of_query(opened.postings, query))
 
 
 @core.query(
@@ -312,7 +292,7 @@ def _vector_scorer(reviews: DataFrame, terms: list[str] | DataFrame):
     f"WITH {POSTINGS_SQL}, {_values(TERMS)}, {LTC_SQL} SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id)::INTEGER AS rank FROM vs QUALIFY rank <= {K}",
 )
 def vector_space_search(spark, folder):
-    scores = _vector_scorer(_reviews(spark, folder), _lower(TERMS))(rank.query_table(spark, TERMS))
+    scores = _vector_scores(review_index(spark, folder), rank.query_table(spark, TERMS))
     return rank.top_k(scores, K).withColumn("score", F.round("score", 9))
 
 
@@ -321,20 +301,19 @@ def vector_space_search(spark, folder):
     f"""WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::INTEGER AS rank FROM vs QUALIFY rank <= 10""",
 )
 def batch_vector_search(spark, folder):
-    query = read(spark, folder, "query_terms")
-    scores = _vector_scorer(_reviews(spark, folder), query)(query)
+    scores = _vector_scores(review_index(spark, folder), read(spark, folder, "query_terms"))
     return rank.top_k(scores, 10).withColumn("score", F.round("score", 9))
 
 
-def _language_model(spark: SparkSession, folder: str, query: DataFrame, terms: list[str] | DataFrame | None) -> DataFrame:
-    reviews = _reviews(spark, folder)
-    posted, length = index.postings(reviews, terms), index.lengths(reviews)
-    return rank.language_model_scores(query, index.dictionary(posted), posted, length, length.agg(F.sum("num_tokens")).scalar(), MIXTURE)
+def _language_model(spark: SparkSession, folder: str, query: DataFrame) -> DataFrame:
+    opened = review_index(spark, folder)
+    total = opened.stats.select("total_tokens").scalar()
+    return rank.language_model_scores(query, rank.of_query(opened.dictionary, query), rank.of_query(opened.postings, query), None, total, MIXTURE)
 
 
 @core.query("language_model_scores", f"WITH {POSTINGS_SQL}, {_values(KNOWN)}, {LM_SQL} SELECT query_id, doc_id, round(log10(score), 6) AS log_score FROM lm")
 def language_model_scores(spark, folder):
-    scores = _language_model(spark, folder, rank.query_table(spark, KNOWN), _lower(KNOWN))
+    scores = _language_model(spark, folder, rank.query_table(spark, KNOWN))
     return scores.select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
 
 
@@ -344,7 +323,7 @@ def language_model_scores(spark, folder):
 )
 def language_model_search(spark, folder):
     """Ordered by the logarithm, as the products of many small factors have few decimals to compare."""
-    scores = _language_model(spark, folder, rank.query_table(spark, KNOWN), _lower(KNOWN))
+    scores = _language_model(spark, folder, rank.query_table(spark, KNOWN))
     best = rank.top_k(scores.withColumn("score", F.log10("score")), K)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("log_score"), "rank")
 
@@ -354,7 +333,7 @@ def language_model_search(spark, folder):
     f"WITH {POSTINGS_SQL}, {_values(TERMS)}, {LM_SQL} SELECT query_id, doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS rank FROM lm QUALIFY rank <= {K}",
 )
 def language_model_unknown(spark, folder):
-    return rank.top_k(_language_model(spark, folder, rank.query_table(spark, TERMS), _lower(TERMS)), K)
+    return rank.top_k(_language_model(spark, folder, rank.query_table(spark, TERMS)), K)
 
 
 #: The logarithm of a score, null for 0: a query with a term that no review has.
@@ -364,7 +343,7 @@ LOG_SQL = "CASE WHEN score > 0 THEN log10(CASE WHEN score > 0 THEN score ELSE 1
 @core.query("batch_language_model_scores", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LM_SQL} SELECT query_id, doc_id, round({LOG_SQL}, 6) AS log_score FROM lm")
 def batch_language_model_scores(spark, folder):
     query = read(spark, folder, "query_terms")
-    return _language_model(spark, folder, query, query).select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
+    return _language_model(spark, folder, query).select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
 
 
 @core.query(
@@ -375,34 +354,34 @@ def batch_language_model_scores(spark, folder):
 def batch_language_model_search(spark, folder):
     """Every query of query_terms; one with a term that no review has comes in order of doc_id, without scores."""
     query = read(spark, folder, "query_terms")
-    best = rank.top_k(_language_model(spark, folder, query, query).withColumn("score", F.log10("score")), 10)
+    best = rank.top_k(_language_model(spark, folder, query).withColumn("score", F.log10("score")), 10)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("log_score"), "rank")
 
 
 @core.query("language_model_everyday", f"WITH {POSTINGS_SQL}, {_values(EVERYDAY)}, {LM_SQL} SELECT query_id, doc_id, round(log10(score), 6) AS log_score FROM lm")
 def language_model_everyday(spark, folder):
     """Scores of every review that holds an everyday or another of the known terms."""
-    scores = _language_model(spark, folder, rank.query_table(spark, EVERYDAY), _lower(EVERYDAY))
+    scores = _language_model(spark, folder, rank.query_table(spark, EVERYDAY))
     return scores.select("query_id", "doc_id", F.round(F.log10("score"), 6).alias("log_score"))
 
 
 @core.query("batch_term_doc_freqs", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, raw_term, doc_id, tf FROM qc JOIN po USING (term)")
 def batch_term_doc_freqs(spark, folder):
     query = read(spark, folder, "query_terms")
-    return rank.term_doc_frequencies(query, index.postings(_reviews(spark, folder), query))
+    return rank.term_doc_frequencies(query, rank.of_query(review_index(spark, folder).postings, query))
 
 
 @core.query("batch_doc_lnn", f"WITH {POSTINGS_SQL}, {TABLE_QUERY}, {LTC_SQL} SELECT query_id, doc_id, raw_term, round(1 + log10(tf), 9) AS weight FROM qc JOIN po USING (term)")
 def batch_doc_lnn(spark, folder):
     query = read(spark, folder, "query_terms")
-    return rank.doc_lnn(query, index.postings(_reviews(spark, folder), query)).withColumn("weight", F.round("weight", 9))
+    return rank.doc_lnn(query, rank.of_query(review_index(spark, folder).postings, query)).withColumn("weight", F.round("weight", 9))
 
 
 @core.query("product_relevance", f"WITH {POSTINGS_SQL}, {_values(TERMS)}, {LTC_SQL}, {REL_SQL} SELECT query_id, product_id, round(relevance, 9) AS relevance FROM re")
 def product_relevance(spark, folder):
-    reviews = _reviews(spark, folder)
-    scores = _vector_scorer(reviews, _lower(TERMS))(rank.query_table(spark, TERMS))
-    return rank.product_relevance(scores, reviews, index.products(reviews)).withColumn("relevance", F.round("relevance", 9))
+    opened = review_index(spark, folder)
+    scores = _vector_scores(opened, rank.query_table(spark, TERMS))
+    return rank.product_relevance(scores, opened.reviews, opened.products).withColumn("relevance", F.round("relevance", 9))
 
 
 @core.query(
@@ -411,8 +390,8 @@ def product_relevance(spark, folder):
     SELECT query_id, product_id, round(relevance, 9) AS relevance, round(rank, 9) AS product_rank, row_number() OVER (ORDER BY round(rank, 12) DESC, relevance DESC, product_id)::INTEGER AS rank FROM b JOIN pr USING (product_id)""",
 )
 def product_search(spark, folder):
-    reviews = _reviews(spark, folder)
-    found = rank.product_search(rank.query_table(spark, TERMS), reviews, index.products(reviews), _vector_scorer(reviews, _lower(TERMS)), K)
+    opened = review_index(spark, folder)
+    found = rank.product_search(rank.query_table(spark, TERMS), opened.reviews, opened.products, lambda q: _vector_scores(opened, q), K)
     return found.withColumns({c: F.round(c, 9) for c in ("relevance", "product_rank")})
 
 
@@ -421,7 +400,7 @@ def product_search(spark, folder):
     f"WITH {POSTINGS_SQL} SELECT term, doc_id, ceil(length(bin(doc_id)) / 7)::INTEGER AS id_bytes, ceil(length(bin(tf)) / 7)::INTEGER AS tf_bytes FROM po",
 )
 def varint_size(spark, folder):
-    return _postings(spark, folder).select("term", "doc_id", codecs.varint_size(F.col("doc_id")).alias("id_bytes"), codecs.varint_size(F.col("tf")).alias("tf_bytes"))
+    return review_index(spark, folder).postings.select("term", "doc_id", codecs.varint_size(F.col("doc_id")).alias("id_bytes"), codecs.varint_size(F.col("tf")).alias("tf_bytes"))
 
 
 @core.query(
@@ -431,7 +410,7 @@ def varint_size(spark, folder):
     SELECT term, (ceil(n / 4.0) * 5 + b - n)::BIGINT AS num_bytes FROM s""",
 )
 def group_varint_size(spark, folder):
-    return encoding.group_varint_sizes(encoding.posting_gaps(_postings(spark, folder)))
+    return encoding.group_varint_sizes(encoding.posting_gaps(review_index(spark, folder).postings))
 
 
 @core.query(
@@ -442,7 +421,7 @@ def group_varint_size(spark, folder):
     SELECT *, (length(term) - prefix_length)::INTEGER AS suffix_length FROM k""",
 )
 def front_coding(spark, folder):
-    return encoding.front_coding(_dictionary(spark, folder))
+    return encoding.front_coding(review_index(spark, folder).dictionary)
 
 
 @core.query("external_sort", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id, row_number() OVER (ORDER BY product_id, doc_id) AS place FROM rv WHERE product_id IS NOT NULL")
@@ -468,19 +447,16 @@ def parse_lines(spark, folder):
     return parsed.select("product_id", "helpfulness_num", "helpfulness_den", "score", F.size(text.raw_tokens(F.col("text"))).alias("num_tokens"))
 
 
-@core.query("index_build")
+@core.query(
+    "index_build",
+    f"""WITH {POSTINGS_SQL}, t AS (SELECT 'reviews' AS table_name, count(*) AS num_rows FROM rv UNION ALL SELECT 'postings', count(*) FROM po UNION ALL SELECT 'dictionary', count(*) FROM di
+    UNION ALL SELECT 'products', count(*) FROM pr UNION ALL SELECT 'stats', 1) SELECT * FROM t""",
+)
 def index_build(spark, folder):
-    """Writes the five tables to the shared folder and opens them again; rows: table, num_rows."""
-    import uuid
-
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    index.ReviewIndex.build(_reviews(spark, folder)).save(path)
-    opened = index.ReviewIndex.load(spark, path)
+    """Writes the five tables to the shared folder, opens them again and counts them: (table_name, num_rows)."""
+    opened = build_from_table(read(spark, folder, "reviews"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
     counts = [getattr(opened, t).agg(F.count("*").alias("num_rows")).select(F.lit(t).alias("table_name"), "num_rows") for t in index.TABLES]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @core.query("postings_check", "SELECT term, doc_id, 'repeated' AS fault FROM (SELECT term, doc_id FROM postings GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT term, doc_id, CASE WHEN coalesce(term, '') = '' THEN 'term' WHEN coalesce(doc_id, 0) < 1 THEN 'doc_id' ELSE 'tf' END FROM postings WHERE coalesce(term, '') = '' OR coalesce(doc_id, 0) < 1 OR coalesce(tf, 0) < 1")

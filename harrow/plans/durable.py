@@ -1,31 +1,44 @@
-"""Cutting lineage so that lost executors cost no result.
+"""Cutting lineage so that lost executors cost no result: tables in the folder that all executors share.
 
-checkpoint() writes to the folder in spark.checkpoint.dir, which all executors share. Only a session without that
-setting, as in tests on one machine, gets a temporary folder.
+The folder is that of spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a temporary
+folder; on a cluster its lack is an error, as executors could not read what others wrote.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder where neither the session nor its context has one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The application's own folder below spark.checkpoint.dir."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harrow-"))
+    if not context.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="harrow-")
+        context.setCheckpointDir(base)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; later jobs read the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written as Parquet to the shared folder; later jobs read the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach, for tables that a query writes."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; a missing one is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has cut; DataFrames built on it cannot run any more."""
+    if spark.sparkContext.getCheckpointDir():
+        remove(spark, spark.sparkContext.getCheckpointDir())

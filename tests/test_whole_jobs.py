@@ -26,7 +26,7 @@ def tokens(doc):
 
 
 def test_gaps_of_every_term_are_decoded(spark, folder):
-    found = entry.queries()["posting_gaps_decoded_all"](spark, folder).collect()
+    found = entry.queries()["posting_gaps_decoded"](spark, folder).collect()
     assert sorted(map(tuple, found)) == sorted((t, d, d) for d in TEXTS for t in set(tokens(d)))
 
 
@@ -76,5 +76,5 @@ def test_language_model_takes_an_everyday_term(spark, folder):
 
 
 def test_reviews_of_every_product_are_listed(spark, folder):
-    found = entry.queries()["product_reviews_all"](spark, folder).collect()
+    found = entry.queries()["product_reviews"](spark, folder).collect()
     assert sorted(map(tuple, found)) == [("P0", 3), ("P1", 1), ("P1", 2), ("P2", 7), ("P2", 70000)]

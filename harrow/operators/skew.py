@@ -15,8 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.plans.durable import cut
+
 #: Buckets of light keys for each task: enough for even packing, few enough for the driver.
 BUCKETS_PER_TASK = 8
+#: Most tasks of a placement, whatever the input: it bounds what the driver packs and what is broadcast (80,000 buckets of
+#: 12 bytes and as many shards). Beyond it, tasks get more rows; they sort on disk and hold one key's result at a time.
+MAX_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -29,14 +34,16 @@ class Placement:
     total: int
 
 
-def plan_placement(keyed: DataFrame, key: str, rows_per_task: int) -> Placement:
-    """Loads of all rows, packed. The driver gets at most one row for each task (heavy keys) and each bucket.
+def plan_placement(keyed: DataFrame, key: str, rows_per_task: int, max_tasks: int = MAX_TASKS) -> Placement:
+    """Loads of all rows, packed into as many tasks as rows_per_task asks for, at most max_tasks.
 
-    A heavy key holds more than rows_per_task rows, so there are fewer of them than tasks.
+    The driver gets at most one row for each task (heavy keys) and each bucket: a heavy key holds more than a task's rows,
+    so there are fewer of them than tasks. Rows are counted in one pass.
     """
-    loads = keyed.groupBy(F.col(key).cast("string").alias("__text")).agg(F.count("*").alias("__n"))
-    total = keyed.count()
-    num_tasks = max(1, math.ceil(total / rows_per_task))
+    loads = cut(keyed.groupBy(F.col(key).cast("string").alias("__text")).agg(F.count("*").alias("__n")))
+    total = loads.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    num_tasks = min(max_tasks, max(1, math.ceil(total / rows_per_task)))
+    rows_per_task = max(rows_per_task, math.ceil(total / num_tasks))
     num_buckets = BUCKETS_PER_TASK * num_tasks
     is_heavy = F.col("__n") > rows_per_task
     slot = F.when(~is_heavy, F.pmod(F.xxhash64("__text"), F.lit(num_buckets)))
@@ -62,7 +69,7 @@ def plan_placement(keyed: DataFrame, key: str, rows_per_task: int) -> Placement:
 def _with_tasks(df: DataFrame, key: str, plan: Placement) -> DataFrame:
     """df with __own (tasks of a split key, else null) and __light (task of the key's bucket).
 
-    Both tables are broadcast: they have at most a row for each task and BUCKETS_PER_TASK rows for each task.
+    Both tables are broadcast: they have at most MAX_TASKS shards in all and BUCKETS_PER_TASK rows for each task.
     """
     spark = df.sparkSession
     heavy = spark.createDataFrame(sorted(plan.heavy.items()), "__heavy string, __own array<int>")
@@ -110,37 +117,67 @@ SUMMARY = "product_id string, num_reviews long, sum_score_weight double, sum_wei
 
 
 def _summaries(top: int):
+    """Partial results of rows sorted by product and doc_id: one row for each product of a task.
+
+    A task holds one Arrow batch, the row before it and the result of the product that is not over yet.
+    """
     import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        # One task's rows: at most about rows_per_task of a few numbers each.
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        encoded = table["product_id"].combine_chunks().dictionary_encode()
-        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        column = lambda n: table[n].to_numpy()
-        doc, num, den, score, at = (column(n) for n in ("doc_id", "helpfulness_num", "helpfulness_den", "score", "received"))
-        # The delivery that came last is the one that counts; copies of a doc_id of one key are in the same task.
-        order = np.lexsort((score, den, num, at, doc, codes))
-        last = np.ones(len(order), bool)
-        last[:-1] = (doc[order][1:] != doc[order][:-1]) | (codes[order][1:] != codes[order][:-1])
-        keep = order[last]
-        codes, doc, num, den, score = (x[keep] for x in (codes, doc, num, den, score))
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("votes", pa.int32()), ("score", pa.int32())]))
+    schema = pa.schema([("product_id", pa.string()), ("num_reviews", pa.int64()), ("sum_score_weight", pa.float64()), ("sum_weight", pa.float64()), ("best", kind)])
+
+    def results(rows: pa.Table) -> list[list]:
+        encoded = rows["product_id"].combine_chunks().dictionary_encode()
+        codes, size = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(encoded.dictionary)
+        doc, num, den, score = (rows[n].to_numpy() for n in ("doc_id", "helpfulness_num", "helpfulness_den", "score"))
         weight = np.where(den == 0, 0.5, num / np.where(den == 0, 1, den))
-        size = len(encoded.dictionary)
         count, sw, w = (np.bincount(codes, v, size) for v in (None, score * weight, weight))
         ranked = np.lexsort((doc, -score, -num, codes))
         starts = np.searchsorted(codes[ranked], np.arange(size))
-        best = [[{"doc_id": int(doc[i]), "votes": int(num[i]), "score": int(score[i])} for i in ranked[s : s + min(top, int(n))]] for s, n in zip(starts, count, strict=True)]
-        schema = pa.schema([("product_id", pa.string()), ("num_reviews", pa.int64()), ("sum_score_weight", pa.float64()), ("sum_weight", pa.float64()), ("best", pa.list_(pa.struct([("doc_id", pa.int64()), ("votes", pa.int32()), ("score", pa.int32())])))])
-        yield pa.RecordBatch.from_pydict({"product_id": encoded.dictionary, "num_reviews": count.astype(np.int64), "sum_score_weight": sw, "sum_weight": w, "best": best}, schema)
+        best = [[(-int(num[i]), -int(score[i]), int(doc[i])) for i in ranked[s : s + min(top, int(n))]] for s, n in zip(starts, count, strict=True)]
+        return [list(r) for r in zip(encoded.dictionary.to_pylist(), count.tolist(), sw.tolist(), w.tolist(), best, strict=True)]
+
+    def flush(done: list[list]) -> pa.RecordBatch:
+        product, count, sw, w, best = zip(*done, strict=True)
+        listed = [[{"doc_id": d, "votes": -v, "score": -s} for v, s, d in b] for b in best]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((product, count, sw, w, listed), schema, strict=True)], schema=schema)
+
+    def run(batches):
+        waiting, held = None, None
+        for batch in _with_end(batches):
+            parts = [b for b in (waiting, batch) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            rows = pa.Table.from_batches(parts)
+            if batch is not None:
+                # The delivery that came last is the one that counts: a row is final once another doc_id follows it.
+                product, doc = rows["product_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), rows["doc_id"].to_numpy()
+                last = (doc[1:] != doc[:-1]) | (product[1:] != product[:-1])
+                waiting = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0]
+                rows = rows.slice(0, rows.num_rows - 1).filter(pa.array(last))
+            found = results(rows) if rows.num_rows else []
+            if found and held and held[0] == found[0][0]:
+                own = found[0]
+                found[0] = [own[0], *(a + b for a, b in zip(held[1:4], own[1:4], strict=True)), sorted(held[4] + own[4])[:top]]
+            elif found and held:
+                found.insert(0, held)
+            if found:
+                held = found.pop()
+            if found:
+                yield flush(found)
+        if held:
+            yield flush([held])
 
     return run
 
 
+def _with_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def product_results(reviews: DataFrame, top: int = 3, rows_per_task: int = 200_000) -> tuple[DataFrame, Placement]:
     """(product_id, num_reviews, rank, best) for every product, and the placement used.
 
@@ -148,7 +185,7 @@ def product_results(reviews: DataFrame, top: int = 3, rows_per_task: int = 200_0
     received_at; a doc_id of a product counts once, as delivered last. rank: helpfulness-weighted mean score, 0 if all
     weights are 0. best: up to `top` reviews by helpful votes, then score, then smallest doc_id. Null score counts as 1,
     null votes as 0 of 1. Rows without product or doc_id are left out; no rows give an empty result. Shards yield one
-    small partial row for each key and task, which a last grouping adds up.
+    small partial row for each key and task, which a last grouping adds up: of one product at most MAX_TASKS rows.
     """
     from harrow.functions.text import ordered_votes, product_key
 
@@ -158,7 +195,8 @@ def product_results(reviews: DataFrame, top: int = 3, rows_per_task: int = 200_0
         F.when(F.col("score").between(1, 5), F.col("score")).otherwise(1).cast("int").alias("score"), F.coalesce(F.unix_micros("received_at"), F.lit(0)).alias("received"),
     ).where("product_id is not null and doc_id is not null")
     plan = plan_placement(rows.select("product_id"), "product_id", rows_per_task)
-    partial = place(rows, "product_id", F.col("doc_id"), plan).drop("__task").mapInArrow(_summaries(top), SUMMARY)
+    placed = place(rows, "product_id", F.col("doc_id"), plan).drop("__task")
+    partial = placed.sortWithinPartitions("product_id", "doc_id", "received", "helpfulness_num", "helpfulness_den", "score").mapInArrow(_summaries(top), SUMMARY)
     merged = partial.groupBy("product_id").agg(
         F.sum("num_reviews").alias("num_reviews"), F.sum("sum_score_weight").alias("__sw"), F.sum("sum_weight").alias("__w"), F.flatten(F.collect_list("best")).alias("__best")
     )

@@ -6,6 +6,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.plans.durable import cut
 
@@ -13,7 +14,7 @@ from harrow.plans.durable import cut
 def place_rows(df: DataFrame, order: list[Column]) -> tuple[DataFrame, dict[int, int]]:
     """df with __part and __pos (0-based place in the partition), and the number of rows before each partition.
 
-    The placed rows are checkpointed: range bounds are sampled, and a second run could cut elsewhere.
+    The placed rows are cut from their plan: range bounds are sampled, and a second run could cut elsewhere.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     mono = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -33,23 +34,65 @@ def number_rows(df: DataFrame, order: list[Column], out: str = "row_num", start:
     return numbered.select(*(c for c in df.columns if c != out), (F.col("__offset") + F.col("__pos") + start).alias(out))
 
 
+def _sums_of_runs(group: list[str], value: str, columns: list[str], schema):
+    """Arrow batches of sorted rows with __part, the sum within the partition since the group began there (__sum), and
+    whether the row's group is the partition's first one (__head)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(schema["__sum"].dataType)
+        part, key, held, heads = TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            keys = [batch.column(g) for g in group]
+            fresh = np.zeros(size, bool)
+            for k in keys:
+                after, before = k.slice(1), k.slice(0, size - 1)
+                other = pc.or_(pc.fill_null(pc.not_equal(after, before), False), pc.xor(pc.is_null(after), pc.is_null(before)))
+                fresh[1:] |= other.to_numpy(zero_copy_only=False)
+            fresh[0] = key is None or key != [k[0].as_py() for k in keys]
+            values = pc.fill_null(batch.column(value).cast(kind), 0).to_numpy(zero_copy_only=False)
+            total = np.cumsum(values)
+            run_of_row, starts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            base = np.append(total[starts] - values[starts], -held)  # the last entry serves rows that go on from before
+            sums = total - base[run_of_row]
+            head = run_of_row + heads <= 0
+            heads += len(starts)
+            key, held = [k[-1].as_py() for k in keys], sums[-1]
+            added = [pa.array(np.full(size, part, np.int32)), pa.array(sums, kind), pa.array(head)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], [*columns, "__part", "__sum", "__head"])
+
+    return run
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
     """Sum of `value` over the rows of a group before the row, in the given order, plus its own; null counts as 0.
 
-    A group may span many partitions: sums within (group, partition) first, then over the partitions of a group, of
-    which there are few.
+    A group may span many partitions. One pass over the range partitions adds up within each; only a partition's first
+    group can have begun before it, so the sums to add are at most one row for each partition, which bounds the two
+    broadcasts.
     """
-    placed, _ = place_rows(df, [*(F.col(g) for g in group), *order])
-    columns = [c for c in df.columns if c != out]
-    keys = [*group, "__part"]
-    own = F.coalesce(F.col(value), F.lit(0))
-    inside = Window.partitionBy(*keys).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("__sum", F.sum(own).over(inside))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys).agg(F.sum(own).alias("__total")).withColumn("__before", F.sum("__total").over(before))
-    totals = totals.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__before")
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return placed.join(totals, same, "left").select(*columns, (F.col("__sum") + F.coalesce("__before", F.lit(0))).alias(out))
+    columns = [c for c in df.columns if c != out or c in (*group, value)]
+    whole = not isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType))
+    added = [T.StructField("__part", T.IntegerType()), T.StructField("__sum", T.LongType() if whole else T.DoubleType()), T.StructField("__head", T.BooleanType())]
+    schema = T.StructType([*(df.schema[c] for c in columns), *added])
+    keys = [F.col(g) for g in group]
+    placed = df.select(*columns).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut(placed.mapInArrow(_sums_of_runs(group, value, columns, schema), schema))
+    heads = placed.where("__head").select(*(k.alias(f"__k{i}") for i, k in enumerate(keys))).distinct()
+    same = [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    totals = placed.join(F.broadcast(heads), same, "left_semi").groupBy(*group, "__part").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__total"))
+    before = F.sum("__total").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*(k.alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__p"), before.alias("__before")).where("__before is not null")
+    joined = placed.join(F.broadcast(offsets), [*same, F.col("__part") == F.col("__p"), F.col("__head")], "left")
+    return joined.select(*(c for c in df.columns if c != out), (F.col("__sum") + F.coalesce("__before", F.lit(0))).alias(out))
 
 
 def previous_in_group(df: DataFrame, group: str, position: str, block: int = 1 << 16, out: str = "previous") -> DataFrame:

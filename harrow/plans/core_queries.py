@@ -514,20 +514,18 @@ def p7_found(spark, folder):
     return records.valid_and_failed(read(spark, folder, "raw_records"))[1].select("rec_id", "reason")
 
 
-@core.query("p7_loaded")
+LOADED_SQL = FAILED_SQL.rsplit("SELECT rec_id, reason", 1)[0].replace("SELECT rec_id, CASE", "SELECT rec_id, v, votes, score, CASE") + """
+SELECT rec_id, regexp_replace(replace(regexp_replace(v.a, '^"|"$', '', 'g'), '""', '"'), '^\\s+|\\s+$', '', 'g') AS product_id, votes AS helpfulness, split_part(votes, '/', 1)::DECIMAL(38,0) AS helpfulness_num,
+split_part(votes, '/', 2)::DECIMAL(38,0) AS helpfulness_den, score::DOUBLE AS score, CASE WHEN v.d[1] = '"' THEN replace(v.d[2:len(v.d) - 1], '""', '"') ELSE v.d END AS text FROM r WHERE reason IS NULL"""
+
+
+@core.query("p7_loaded", LOADED_SQL)
 def p7_loaded(spark, folder):
     return records.valid_and_failed(read(spark, folder, "raw_records"))[0]
 
 
 @core.query("p7_exports")
 def p7_exports(spark, folder):
-    """The records of each src_file as one export text, in order of rec_id and a line break after each, parsed with
-    recovery: (src_file, start, reason, position) and the values; start and position count characters of the text.
-
-    A file goes through one task, as in parse_files(). Line breaks end plain fields here, unlike in p7_found.
-    """
-    lines = F.sort_array(F.collect_list(F.struct("rec_id", F.coalesce("raw", F.lit("")).alias("raw"))))
-    raw = read(spark, folder, "raw_records")
-    texts = raw.groupBy("src_file").agg(F.concat(F.array_join(F.transform(lines, lambda r: r["raw"]), "\n"), F.lit("\n")).alias("content"))
-    parsed = records.parse_files(texts.withColumnRenamed("src_file", "path"))
-    return parsed.withColumnsRenamed({"path": "src_file", "rec_id": "start"})
+    """The records of each src_file as one export text, parsed with recovery: (src_file, start, reason, position) and the
+    values, see parse_exports()."""
+    return records.parse_exports(read(spark, folder, "raw_records"))

@@ -8,19 +8,24 @@ Grammar (RFC 4180, LF or CR LF between the records of a file):
     quoted  = DQUOTE *(any but DQUOTE / 2DQUOTE) DQUOTE
     plain   = *(any but DQUOTE, ",", line end)
 
-After a quoting error the parser resumes at the next validated record start: a line start from which a whole valid
-record parses, with helpfulness and score in place. What lies between belongs to the broken record.
+After a quoting error the parser resumes at the next validated record start. Where the starts of records are known, as in
+tables with one record a row, those are the starts, and no field reaches over one. In whole files it is a line start from
+which a record of four fields parses with helpfulness or score in place; what lies between belongs to the broken record.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from decimal import Decimal
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.ordering import running_sum
+
 #: Reasons in the order in which they apply.
 REASONS = ("quoting", "columns", "helpfulness", "score")
 _PLAIN = re.compile(r'[^",\r\n]*')
@@ -39,11 +44,15 @@ class QuotingError(ValueError):
 
 @dataclass(frozen=True)
 class Parsed:
-    """A record: its place (start, end) and its values, or the reason of failure and the place of the fault."""
+    """A record: its place (start, end) and its values, or the reason of failure and the place of the fault.
+
+    helpfulness: the votes as written, without blanks around.
+    """
 
     start: int
     end: int
     product_id: str | None = None
+    helpfulness: str | None = None
     helpfulness_num: int | None = None
     helpfulness_den: int | None = None
     score: float | None = None
@@ -53,25 +62,27 @@ class Parsed:
 
 
 class RecordParser:
-    """Recursive descent over one text. single=True: the text is one record, line breaks in plain fields belong to it."""
+    """Recursive descent over one text. single=True: line breaks in plain fields belong to the record, which ends at the
+    limit only."""
 
     def __init__(self, source: str, single: bool = False) -> None:
         self.source = source
         self.single = single
         self.plain = _PLAIN_ROW if single else _PLAIN
+        self.limit = len(source)
 
     def field(self, at: int) -> tuple[str, int]:
-        source = self.source
-        if source.startswith('"', at):
-            match = _QUOTED.match(source, at)
+        source, limit = self.source, self.limit
+        if source.startswith('"', at, limit):
+            match = _QUOTED.match(source, at, limit)
             if not match:
                 raise QuotingError(at)
             end = match.end()
-            if end < len(source) and source[end] != "," and (self.single or source[end] not in "\r\n"):
+            if end < limit and source[end] != "," and (self.single or source[end] not in "\r\n"):
                 raise QuotingError(end)
             return match[1].replace('""', '"'), end
-        end = self.plain.match(source, at).end()
-        if source.startswith('"', end):
+        end = self.plain.match(source, at, limit).end()
+        if source.startswith('"', end, limit):
             raise QuotingError(end)
         return source[at:end], end
 
@@ -80,7 +91,7 @@ class RecordParser:
         while True:
             value, end = self.field(at)
             fields.append((value, at))
-            if not self.source.startswith(",", end):
+            if not self.source.startswith(",", end, self.limit):
                 return fields, end
             at = end + 1
 
@@ -88,33 +99,28 @@ class RecordParser:
         if len(fields) != 4:
             return Parsed(start, end, reason="columns", position=fields[min(4, len(fields) - 1)][1])
         (product, _), (votes, votes_at), (number, number_at), (text, _) = fields
-        pair = _VOTES.fullmatch(votes.strip())
+        votes, number = votes.strip(), number.strip()
+        pair = _VOTES.fullmatch(votes)
         if not pair or not _at_most(pair[1], pair[2]):
             return Parsed(start, end, reason="helpfulness", position=votes_at)
-        number = number.strip()
-        if not _NUMBER.fullmatch(number) or not 1 <= float(number) <= 5:
+        if not _NUMBER.fullmatch(number) or not 1 <= Decimal(number) <= 5:
             return Parsed(start, end, reason="score", position=number_at)
-        return Parsed(start, end, product.strip(), int(pair[1]), int(pair[2]), float(number), text)
+        return Parsed(start, end, product.strip(), votes, int(pair[1]), int(pair[2]), float(number), text)
 
     def anchor(self, after: int) -> int:
-        """The next line start from which a valid record parses; the end of the text if there is none."""
+        """The next line start from which a record of four fields parses with votes or a score in place, whether or not
+        its values are valid; the end of the text if there is none."""
         for line in _LINE_END.finditer(self.source, after):
             try:
-                fields, end = self.record(line.end())
+                fields, _ = self.record(line.end())
             except QuotingError:
                 continue
-            if self.typed(line.end(), fields, end).reason is None:
+            if len(fields) == 4 and (_VOTES.fullmatch(fields[1][0].strip()) or _NUMBER.fullmatch(fields[2][0].strip())):
                 return line.end()
         return len(self.source)
 
-    def row(self) -> Parsed:
-        try:
-            fields, end = self.record(0)
-        except QuotingError as fault:
-            return Parsed(0, len(self.source), reason="quoting", position=fault.position)
-        return self.typed(0, fields, end)
-
     def file(self) -> Iterator[Parsed]:
+        """The records of a whole file."""
         at, size = 0, len(self.source)
         while at < size:
             try:
@@ -127,6 +133,14 @@ class RecordParser:
                 yield Parsed(at, resume, reason="quoting", position=fault.position)
                 at = resume
 
+    def known(self, starts: Iterable[tuple[int, int]]) -> Iterator[Parsed]:
+        """The records at known places (start, end); after a fault the next start is the one to resume at."""
+        for start, self.limit in starts:
+            try:
+                yield self.typed(start, *self.record(start))
+            except QuotingError as fault:
+                yield Parsed(start, self.limit, reason="quoting", position=fault.position)
+
 
 def _at_most(a: str, b: str) -> bool:
     """Whether one run of digits is at most another, however long."""
@@ -136,47 +150,55 @@ def _at_most(a: str, b: str) -> bool:
 
 def parse_row(raw: str | None) -> Parsed:
     """One record; null has no field and fails as `columns`."""
-    return Parsed(0, 0, reason="columns", position=0) if raw is None else RecordParser(raw, single=True).row()
+    return next(parse_known([raw]))
 
 
-PARSED = "product_id string, helpfulness_num decimal(38,0), helpfulness_den decimal(38,0), score double, text string, reason string, position int"
+def parse_known(rows: list[str | None]) -> Iterator[Parsed]:
+    """One result for each row, from one pass over their joined text; places count within the row."""
+    ends = list(accumulate(len(r or "") + 1 for r in rows))
+    starts = [end - len(r or "") - 1 for end, r in zip(ends, rows, strict=True)]
+    parser = RecordParser("\n".join(r or "" for r in rows), single=True)
+    for raw, start, parsed in zip(rows, starts, parser.known((s, e - 1) for s, e in zip(starts, ends, strict=True)), strict=True):
+        if raw is None:
+            yield Parsed(0, 0, reason="columns", position=0)
+        else:
+            yield replace(parsed, start=0, end=parsed.end - start, position=None if parsed.position is None else parsed.position - start)
 
 
-def _columns(rows: list[Parsed], ids):
-    import decimal
+PARSED = "product_id string, helpfulness string, helpfulness_num decimal(38,0), helpfulness_den decimal(38,0), score double, text string, reason string, position long"
 
+
+def _columns(rows: list[Parsed], ids):
     import pyarrow as pa
 
-    def big(n: int | None) -> decimal.Decimal | None:
-        return None if n is None or n >= 10**38 else decimal.Decimal(n)
+    def big(n: int | None) -> Decimal | None:
+        return None if n is None or n >= 10**38 else Decimal(n)
 
-    return pa.RecordBatch.from_arrays(
-        [
-            *ids, pa.array([r.product_id for r in rows], pa.string()), pa.array([big(r.helpfulness_num) for r in rows], pa.decimal128(38)),
-            pa.array([big(r.helpfulness_den) for r in rows], pa.decimal128(38)), pa.array([r.score for r in rows], pa.float64()),
-            pa.array([r.text for r in rows], pa.string()), pa.array([r.reason for r in rows], pa.string()), pa.array([r.position for r in rows], pa.int32()),
-        ],
-        ["rec_id", "product_id", "helpfulness_num", "helpfulness_den", "score", "text", "reason", "position"],
-    )
+    kinds = {"helpfulness_num": pa.decimal128(38), "helpfulness_den": pa.decimal128(38), "score": pa.float64(), "position": pa.int64()}
+    names = ["product_id", "helpfulness", "helpfulness_num", "helpfulness_den", "score", "text", "reason", "position"]
+    values = lambda n: [big(getattr(r, n)) if n in ("helpfulness_num", "helpfulness_den") else getattr(r, n) for r in rows]
+    return pa.RecordBatch.from_arrays([*ids, *(pa.array(values(n), kinds.get(n, pa.string())) for n in names)], ["rec_id", *names])
 
 
 def parse_rows(raw_records: DataFrame) -> DataFrame:
     """rec_id and PARSED of a table (rec_id, raw) with one record a row; reason is null where the record is valid.
 
-    A null raw fails as `columns`; an empty one too, as it has one field. Failed rows have null values and the
-    character position of the fault. Numbers of votes beyond 38 digits come as null but are compared in full.
+    The rows of a batch are one text whose record starts are known; a broken quote ends with its row. A null raw fails as
+    `columns`; an empty one too, as it has one field. Failed rows have null values and the character position of the
+    fault. Votes of more than 38 digits are whole in `helpfulness` and compared in full; as numbers they come as null.
     """
 
     def run(batches):
         for batch in batches:
-            yield _columns([parse_row(x) for x in batch.column("raw").to_pylist()], [batch.column("rec_id")])
+            yield _columns(list(parse_known(batch.column("raw").to_pylist())), [batch.column("rec_id")])
 
     kind = raw_records.schema["rec_id"].dataType.simpleString()
     return raw_records.select("rec_id", "raw").mapInArrow(run, f"rec_id {kind}, {PARSED}")
 
 
 def valid_and_failed(raw_records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The loaded rows (rec_id, product_id, helpfulness_num, helpfulness_den, score, text), and (rec_id, reason, position)."""
+    """The loaded rows (rec_id, product_id, helpfulness, helpfulness_num, helpfulness_den, score, text), and the failed ones
+    (rec_id, reason, position)."""
     parsed = parse_rows(raw_records)
     return parsed.where("reason is null").drop("reason", "position"), parsed.where("reason is not null").select("rec_id", "reason", "position")
 
@@ -185,7 +207,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     """rec_id (character position in the file), PARSED and path of whole files (path, content as text).
 
     For exports whose records are not split yet. A file is parsed in one task, since a quote may reach over any line
-    break; exports come as many files.
+    break; exports come as many files, and parse_exports() takes those whose records are rows in pieces.
     """
 
     def run(batches):
@@ -198,3 +220,29 @@ def parse_files(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*parsed.columns, pa.array([path] * len(rows), pa.string())], [*parsed.schema.names, "path"])
 
     return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content")).mapInArrow(run, f"rec_id long, {PARSED}, path string")
+
+
+def parse_exports(raw_records: DataFrame, piece: int = 1_000_000) -> DataFrame:
+    """(src_file, start, PARSED) of the records of each src_file as one text, in order of rec_id and with a line break after
+    each, parsed with recovery; start and position count characters of that text.
+
+    raw_records: rec_id, src_file, raw (null counts as empty). The text is cut at record starts into pieces of about
+    `piece` characters, so a file with most rows is spread over many tasks; a broken quote ends with its piece at the
+    latest. Line breaks end plain fields here.
+    """
+    rows = raw_records.select("src_file", "rec_id", F.coalesce("raw", F.lit("")).alias("raw"))
+    summed = running_sum(rows.withColumn("__size", F.length("raw") + 1), ["src_file"], [F.col("rec_id"), F.col("raw")], "__size", "__end")
+    placed = summed.withColumn("__start", F.col("__end") - F.col("__size")).withColumn("__piece", F.floor(F.col("__start") / piece))
+    lines = F.sort_array(F.collect_list(F.struct("__start", "raw")))
+    texts = placed.groupBy("src_file", "__piece").agg(F.min("__start").alias("__base"), F.array_join(F.transform(lines, lambda r: r["raw"]), "\n").alias("content"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, base, content in zip(*(batch.column(c).to_pylist() for c in ("src_file", "__base", "content")), strict=True):
+                found = [replace(r, position=None if r.position is None else r.position + base) for r in RecordParser(content + "\n").file()]
+                parsed = _columns(found, [pa.array([r.start + base for r in found], pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *parsed.columns], ["src_file", "start", *parsed.schema.names[1:]])
+
+    return texts.select("src_file", "__base", "content").mapInArrow(run, f"src_file string, start long, {PARSED}")

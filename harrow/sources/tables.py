@@ -27,6 +27,21 @@ def distinct_reviews(reviews: DataFrame, columns: list[str]) -> DataFrame:
     return one_delivery(reviews, "doc_id", "received_at", columns)
 
 
+def of_last_delivery(found: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Rows of `found` that come from the last delivery of their doc_id, each doc_id once, without received_at.
+
+    found: doc_id, received_at and what an operator found in single deliveries; reviews: all deliveries. So texts are
+    looked through where they are read and never shuffled. Of equal times a delivery with a finding counts, of several
+    the one with the largest. Rows with a null doc_id are left out.
+    """
+    times = reviews.where("doc_id is not null").groupBy("doc_id").agg(F.max("received_at").alias("__last"), F.count("*").alias("__n"))
+    repeated = times.where("__n > 1").select("doc_id", "__last")
+    kept = found.where("doc_id is not null").join(repeated, "doc_id", "left").where("__last is null or received_at = __last")
+    columns = [c for c in found.columns if c not in ("doc_id", "received_at")]
+    best = F.max(F.struct(F.lit(1), *columns)).alias("__best")
+    return kept.groupBy("doc_id").agg(best).select("doc_id", *(F.col("__best")[c].alias(c) for c in columns))
+
+
 def canonical_reviews(reviews: DataFrame, with_text: bool = True) -> DataFrame:
     """Each doc_id once: product_id folded (null is no product), votes ordered, score 1 outside 1..5 or null, text as stored.
 

@@ -47,7 +47,9 @@ def test_operator(spark):
     loaded, failed = records.valid_and_failed(df)
     assert {r.rec_id: r.reason for r in failed.collect()} == {i: r for i, r in enumerate([*CASES.values(), "columns"]) if r}
     ok = {r.rec_id: r for r in loaded.collect()}
-    assert tuple(ok[0])[1:] == ("B1", 1, 2, 5.0, 'ok, "yes"\nline') and ok[1].text == "" and ok[2].score == 3.0
+    assert tuple(ok[0].asDict()[c] for c in ("product_id", "helpfulness_num", "helpfulness_den", "score", "text")) == ("B1", 1, 2, 5.0, 'ok, "yes"\nline') and ok[1].text == "" and ok[2].score == 3.0
+    long = next(r for r in ok.values() if r.helpfulness_num is None)
+    assert long.helpfulness == "9" * 60 + "/" + "9" * 61 and ok[0].helpfulness == "1/2"
     assert records.parse_rows(df.limit(0)).count() == 0
     assert len(ok) + failed.count() == len(rows)
 
@@ -57,6 +59,31 @@ def test_whole_files(spark):
     assert sorted((r.path, r.rec_id, r.reason) for r in records.parse_files(df).collect()) == [("f1", 0, None), ("f1", 10, "quoting"), ("f1", 21, None)]
 
 
+def test_a_wrong_value_after_a_broken_quote_is_told():
+    text = 'a,1/2,3,"open\nb,9/2,3,x\nc,1/2,7,y\nd,1/2,3,z\n'
+    assert [(r.start, r.reason) for r in records.RecordParser(text).file()] == [(0, "quoting"), (14, "helpfulness"), (24, "score"), (34, None)]
+
+
+def test_rows_end_their_quotes():
+    found = list(records.parse_known(['a,1/2,3,"open', 'b,1/2,4,"', None, 'c,1/2,3,"x\ny"', "", 'd,1/2,3,k"']))
+    assert [(r.reason, r.start, r.position) for r in found] == [("quoting", 0, 8), ("quoting", 0, 8), ("columns", 0, 0), (None, 0, None), ("columns", 0, 0), ("quoting", 0, 9)]
+
+
+def test_scores_are_compared_exactly():
+    assert records.parse_row("a,1/2,5.000000000000000000001,x").reason == "score" and records.parse_row("a,1/2,4.9999999999999999999,x").reason is None
+
+
+def test_exports_in_pieces_are_those_of_whole_files(spark):
+    rows = [(i, "f" if i % 3 else "g", raw) for i, raw in enumerate([*CASES] * 3) if "\n" not in raw and len(raw) < 1000]
+    df = spark.createDataFrame(rows, "rec_id long, src_file string, raw string")
+    small = records.parse_exports(df, 1)  # every record its own piece
+    assert sum(r.reason is None for r in small.collect()) == sum(CASES[raw] is None for _, _, raw in rows)
+    whole = {f: "\n".join(raw for _, g, raw in rows if g == f) + "\n" for f in "fg"}
+    wanted = sorted((f, r.start, r.reason, r.position) for f, text in whole.items() for r in records.RecordParser(text).file())
+    assert sorted((r.src_file, r.start, r.reason, r.position) for r in records.parse_exports(df).collect()) == wanted
+    assert records.parse_exports(df.limit(0)).count() == 0
+
+
 def brute_reason(raw):
     """The same rules read character by character."""
     import re

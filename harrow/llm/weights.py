@@ -75,15 +75,16 @@ def term_weights(texts: DataFrame, mu: float = 100.0, min_df: int = 2, best: boo
 
     texts: doc_id (each once) and text; other columns are ignored. Among equal weights (to 12 decimals) the term first
     in byte order is the heaviest. Records without a term in the lexicon, null texts included, give no row; so does an
-    empty table. Counts are those of all given texts. A term in all records has weight 0.
+    empty table. Counts are those of all given texts. A term in all records has weight 0. The texts are written to the
+    shared folder once, as they are read twice.
     """
     spark = texts.sparkSession
-    counts = cut(ngram_counts(texts))
+    rows = cut(texts.select("doc_id", "text"))
+    counts = cut(ngram_counts(rows))
     lexicon = counts.where((F.col("num_terms") == 1) & (F.col("df") >= min_df)).select(F.col("ngram").alias("term"), "df", "cf")
     totals = counts.agg(F.sum(F.when(F.col("num_terms") == 0, F.col("df"))).alias("records"), F.sum(F.when(F.col("num_terms") == 1, F.col("cf"))).alias("total")).first()
     records, total = totals["records"] or 0, totals["total"] or 0
     size = lexicon.agg(F.coalesce(F.sum(F.length("term") + 20), F.lit(0))).first()[0]
-    rows = texts.select("doc_id", "text")
     if size > lexicon_bytes:
         weighed = _joined(rows, lexicon, records, total, mu)
         if best:

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.text import ordered_votes
 from harrow.operators.ordering import running_sum
-from harrow.sources.tables import canonical_reviews
+from harrow.plans.durable import cut
+from harrow.sources.tables import distinct_reviews
 
 
 def fuse(rows: DataFrame, group: str, item: str, scores: dict[str, Column], constant: float = 60.0) -> DataFrame:
@@ -22,7 +24,7 @@ def fuse(rows: DataFrame, group: str, item: str, scores: dict[str, Column], cons
     Items of a null group form a group; a null item is an item.
     """
     values = [F.max(F.when(~F.isnan(c.cast("double")), c.cast("double"))).alias(f"__s{i}") for i, c in enumerate(scores.values())]
-    items = rows.groupBy(F.col(group).alias("__g"), F.col(item).alias("__i")).agg(*values)
+    items = cut(rows.groupBy(F.col(group).alias("__g"), F.col(item).alias("__i")).agg(*values))
     entries = F.array(*(F.struct(F.lit(n).alias("m"), F.col(f"__s{i}").alias("v")) for i, n in enumerate(scores)))
     long = items.select("__g", "__i", F.explode(entries).alias("__e")).select("__g", "__i", F.col("__e.m").alias("__m"), F.col("__e.v").alias("__v"))
     counts = long.groupBy("__g", "__m", "__v").agg(F.count("*").alias("__n"))
@@ -53,12 +55,12 @@ def candidate_scores(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
     votes and the ratio of no votes.
     """
     wanted = candidates.select("doc_id").distinct()
-    known = reviews.join(wanted, "doc_id", "left_semi")
-    votes = canonical_reviews(known, with_text=False).select("doc_id", "helpfulness_num", "helpfulness_den")
-    stars = known.groupBy("doc_id").agg(F.max("score").alias("score"))
-    joined = candidates.select("query_id", "doc_id", "vsm_score", "lm_score").distinct().join(votes, "doc_id", "left").join(stars, "doc_id", "left")
-    ratio = F.when(F.coalesce("helpfulness_den", F.lit(0)) == 0, F.lit(0.5)).otherwise(F.col("helpfulness_num") / F.col("helpfulness_den"))
-    return joined.select("query_id", "doc_id", "vsm_score", "lm_score", "score", F.col("helpfulness_num").alias("votes"), ratio.alias("ratio"))
+    known = distinct_reviews(reviews.join(wanted, "doc_id", "left_semi"), ["helpfulness_num", "helpfulness_den", "score"])
+    votes = ordered_votes(F.col("helpfulness_num"), F.col("helpfulness_den"))
+    known = known.select("doc_id", "score", votes["num"].alias("votes"), votes["den"].alias("__den"))
+    joined = candidates.select("query_id", "doc_id", "vsm_score", "lm_score").distinct().join(known, "doc_id", "left")
+    ratio = F.when(F.coalesce("__den", F.lit(0)) == 0, F.lit(0.5)).otherwise(F.col("votes") / F.col("__den"))
+    return joined.select("query_id", "doc_id", "vsm_score", "lm_score", "score", "votes", ratio.alias("ratio"))
 
 
 METRICS = ("vsm_score", "lm_score", "score", "votes", "ratio")

@@ -1,7 +1,7 @@
 """Markup residue: find it and turn pages into clean text that keeps headings, lists, tables, code and formulas.
 
-A page is cut into leaf blocks: pieces of text and pieces that may be markup, each with the tags, environments or fences
-that are open around it. A linear-chain conditional random field labels the sequence from the block's form, its
+A page is cut into the leaf blocks of its document tree: pieces of text and pieces that may be markup, each with the path
+of elements, environments, tables or fences that are open around it; end tags that may be left out are implied. A linear-chain conditional random field labels the sequence from the block's form, its
 surroundings and its ancestors; Viterbi picks the best labels. The field is trained on generated pages whose labels are
 known: prose with HTML, Markdown, wiki text and LaTeX in many combinations, and prose with signs that people type.
 """
@@ -18,17 +18,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.sources.tables import of_last_delivery
+
 #: TEXT: prose. MARK: markup to drop. ENTITY: a character reference. INLINE: emphasis or link, its words stay. The rest
 #: is content by its role.
 LABELS = ("TEXT", "MARK", "ENTITY", "INLINE", "TITLE", "ITEM", "CODE", "FORMULA", "CELL", "QUOTE")
 BUCKETS = 1 << 12
-#: A page without any of this has one block of plain text and no decision to make; the scan drops it.
-TRIGGER = r"[<>&*_#`\[\]{}\\|~=^]|''|\$(?![0-9])|(?m:^[ \t]*([-+]|[0-9]{1,3}[.)])[ \t])|(?m:^-{3,})"
-
+#: Attributes that stand without a value. Other bare words after a name are prose between two signs.
+_BARE = "checked|disabled|hidden|selected|readonly|required|multiple|async|defer|controls|loop|muted|autoplay|nowrap|noshade|compact|open|ismap|novalidate|autofocus"
 _PIECES = (
     ("fence", r"(?m:^[ \t]*(?:```|~~~)[^\n`]*$)"),
     ("comment", r"<!--.*?(?:-->|$)|<!\[CDATA\[|<![A-Za-z][^>]*>|<\?[a-z][^>]*\?>"),
-    ("tag", r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+))?)*\s*/?>"),
+    ("tag", rf"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+(?:[A-Za-z_:@][\w:.@-]*\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s<>\"']+)|(?:{_BARE})(?=[\s/>])))*\s*/?>"),
     ("cut_tag", r"<[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][\w:.-]*\s*=\s*(?:\"[^\"<>\n]*\"|'[^'<>\n]*'|[\"'][\w:/.#-]*|[^\s<>\"']+))+|</[A-Za-z][A-Za-z0-9]*|<(?:br|hr|p|div|span|li|ul|ol|img|a|b|i|td|tr|table|font|pre|code|h[1-6])\b(?=\s*(?:/?$|/|\n))"),
     ("entity", r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"),
     ("template", r"\{\{[^{}\n]*\}\}"),
@@ -39,26 +40,34 @@ _PIECES = (
     ("tick", r"``[^\n]+?``|`[^`\n]+`"),
     ("strong", r"\*\*[^*\n]+\*\*|(?<!\w)__[^_\n]+__(?!\w)|~~[^~\n]+~~"),
     ("quotes", r"'{2,5}(?=\S)[^'\n]+(?:'(?!')[^'\n]+)*'{2,5}"),
-    ("formula", r"\$\$[^$]+\$\$|\$(?!\s)[^$\n]*[\\^_{}][^$\n]*\$|\\\((?:(?!\\\()[^\n])*?\\\)|\\\[(?:(?!\\\[).)*?\\\]"),
+    ("formula", r"\$\$[^$]+\$\$|\$(?!\s)[^$\n]*[\\^_{}][^$\n]*(?<!\s)\$(?![0-9])|\\\((?:(?!\\\()[^\n])*?\\\)|\\\[(?:(?!\\\[).)*?\\\]"),
     ("environment", r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?"),
     ("heading_command", r"\\(?:part|chapter|(?:sub){0,2}section|paragraph|title)\*?\{[^{}]*\}"),
     ("text_command", r"\\(?:text[a-z]{2}|emph|underline|mbox|footnote|href\{[^{}]*\}|url)\{[^{}]*\}"),
     ("command", r"~?\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})+|\\(?:item|maketitle|centering|newline|noindent|par|ldots|dots|LaTeX|TeX|hline|label|quad|cdot|times)\b"),
     ("escape", r"\\[%&$#_{}](?=\W|$|\w)"),
+    ("setext", r"(?m:^(?![ \t]*[-=|>#*+])[^\n<>|]{1,120}\n[ \t]*(?:={3,}|-{3,})[ \t]*$)"),
     ("heading", r"(?m:^[ \t]*#{1,6}[ \t]+(?=\S))"),
     ("wiki_heading", r"(?m:^[ \t]*(={2,6})[^=\n]+\1[ \t]*$)"),
     ("marker", r"(?m:^[ \t]*(?:[-*+]|[0-9]{1,3}[.)])[ \t]+(?=\S))"),
     ("quote", r"(?m:^[ \t]*>+[ \t]?(?=\S))"),
-    ("row", r"(?m:^[ \t]*\|[^\n]*\|[ \t]*$)|\{\||\|\}|(?m:^\|-.*$)"),
+    ("table_mark", r"(?m:^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n|]*)$)|\{\||\|\}"),
+    ("row", r"(?m:^[ \t]*\|[^\n]*\|[ \t]*$)"),
+    ("cell", r"(?m:^[ \t]*[|!][ \t+]*(?=\S))"),
     ("rule", r"(?m:^[ \t]*(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$)"),
     ("slant", r"(?<![\w*])\*[^\s*][^*\n]*[^\s*]\*(?![\w*])|(?<![\w_])_[^\s_][^_\n]*[^\s_]_(?![\w_])"),
     ("sign", r"[<>&*_#`\[\]{}\\|~=$^]+"),
 )
 #: The backreference of wiki_heading is by name, as the pieces share one pattern.
+#: A page without any of this holds no piece: signs that every piece but a few needs, and the others' line starts and quotes.
+TRIGGER = r"[<>&*_#`\[\]{}\\|~=^]|''|\$\$|(?m:^[ \t]*(-{3}|[-+!][ \t+]*[^ \t\n]|[0-9]{1,3}[.)][ \t]))"
 PIECE = re.compile("|".join(f"(?P<{n}>{p.replace('(={2,6})', '(?P<eq>={2,6})').replace(chr(92) + '1', '(?P=eq)')})" for n, p in _PIECES), re.DOTALL)
 _FENCE = re.compile(_PIECES[0][1])
 _TAG_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)")
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source"}
+#: Open elements that a start tag ends, as their own end tags may be left out: fixed values.
+_CELLS = ("td", "th", "p")
+_IMPLIED = {"li": ("li", "p"), "p": ("p",), "td": _CELLS, "th": _CELLS, "tr": ("tr", *_CELLS), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",), **dict.fromkeys(("div", "ul", "ol", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"), ("p",))}
 _WORD = re.compile(r"\w+")
 #: Elements and environments that give their content a role.
 ROLES = {
@@ -126,7 +135,8 @@ def blocks(page: str) -> list[Block]:
                 while opened.pop() != tag:
                     pass
             elif name and not closing and tag not in _VOID and not match[0].endswith("/>") and kind == "tag":
-                if tag in ("li", "p", "td", "tr") and opened and opened[-1] == tag:
+                ends = _IMPLIED.get(tag, ())
+                while opened and opened[-1] in ends:
                     opened.pop()
                 opened.append(tag)
         elif kind == "environment":
@@ -137,9 +147,16 @@ def blocks(page: str) -> list[Block]:
             elif name in opened:
                 while opened.pop() != name:
                     pass
+        elif kind == "table_mark":
+            add(kind, start, end)
+            if "{|" in match[0]:
+                opened.append("wikitable")
+            elif "|}" in match[0] and "wikitable" in opened:
+                while opened.pop() != "wikitable":
+                    pass
         else:
             add(kind, start, end)
-            if kind in ("heading", "marker", "quote"):
+            if kind in ("heading", "marker", "quote", "cell"):
                 line_role = kind
         at = end
     prose(at, len(page))
@@ -170,8 +187,8 @@ def features(page: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(page):
         kind = b.kind
-        role = next((a for a in reversed(b.ancestors) if a in ROLES or a in ("heading", "marker", "quote")), "")
-        names = ["bias", f"kind {kind}", f"kind {kind} role {role}", f"role {role}", f"kind {kind} line {b.line_start}", f"kind {kind} many {min(3, counts[kind])}"]
+        role = next((a for a in reversed(b.ancestors) if a in ROLES or a in ("heading", "marker", "quote", "cell", "wikitable")), "")
+        names = ["bias", f"kind {kind}", f"kind {kind} role {role}", f"role {role}", f"kind {kind} line {b.line_start}", f"kind {kind} many {min(3, counts[kind])}", f"path {kind} {' '.join(b.ancestors[-2:])}"]
         names += [f"before {page[i - 1].kind if i else ''} {kind}", f"after {page[i + 1].kind if i + 1 < len(page) else ''} {kind}", f"up {b.ancestors[-1] if b.ancestors else ''} {kind}"]
         if kind != "prose":
             names += [f"shape {kind} {_shape(b.text)}", f"edges {kind} {_class(b.before)}{_class(b.after)}", f"first {kind} {b.text[:1]} {_class(b.before)}{_class(b.after)}"]
@@ -291,7 +308,8 @@ class PageMaker:
             f"{n}* {a}", f"{a}* {b}", f"#{n} {a}", f"{a} #{n}", f"{a}_{b}_{n} {a}", f"c:\\{a}\\{b}", f"\\o/ {a}", f"{{{a}}} {b}", f"[{a} {b}: {a}]", f"[{a}] {b}", f"[{n}] {a}",
             f"~{n} {a}", f"~ {a}", f"{a} >> {b}.", f"{a} -> {b}", f"{a} => {b}", f"{a} = {b}", f"{n}={m}", f"{a} == {b}", "(^_^)", "^^ " + a, f"{a} | {b}", f"{a}|{b}", f"-- {a}", f"*{a}", f"{a} *_* {b}",
             f"${n}.{m}", f"${n}-${m}", f"$$$ {a}", f"{n} ^ {m}", f"{n}^{m}", f"<{a}@{b}>", f"<-- {a}", f"<< {a} >>", f"<{a}, {b}", f"a<b {a}", f"{a}&{b}", f"`{a}", f"''{a}", f"{n}'' {a}", f"'{a}' {b}", f"@{a} {b}", f"100% {a}",
-            f"\\{a}/", f"\\{n}", f"{a}\\{b}", f"{{{n}}}", f"{{{a}", f"]{a}[", f">.< {a}", f":> {a}", f"#{a}", f"{a}#", "***", f"*** {a}", "*sigh* " + a if self.rng.random() < 0.0 else f"**{n}", f"_{a}", f"{a}_",
+            f"\\{a}/", f"\\{n}", f"{a}\\{b}", f"{{{n}}}", f"{{{a}", f"]{a}[", f">.< {a}", f":> {a}", f"#{a}", f"{a}#", "***", f"*** {a}", f"**{n}", f"_{a}", f"{a}_",
+            f"{a} <{b} or {b}> {a}.", f"! {a}", f"| {a}", f"{a} {{| {b}", f"--- {a}", f"{a} ---", f"{n} * {m} * {n}",
         ))
 
     def add(self, label: str, text: str) -> None:
@@ -304,7 +322,7 @@ class PageMaker:
     def construct(self) -> None:
         rng, add = self.rng, self.add
         url = f"http{rng.choice(('', 's'))}://{self.word()}.{self.word()}/{self.word()}"
-        pick = rng.randint(0, 29)
+        pick = rng.randint(0, 34)
         if pick == 0:
             add("MARK", rng.choice(("<br>", "<br />", "<BR/>", "<hr>", "<br/><br/>"[:5])))
         elif pick == 1:
@@ -409,6 +427,32 @@ class PageMaker:
             add("TEXT", " ")
         elif pick == 28:
             add("INLINE", f"\\{rng.choice(('textbf', 'emph', 'textit', 'underline'))}{{{self.words(1, 2)}}}")
+        elif pick in (30, 31):
+            add("INLINE", rng.choice((f"*{self.words(1, 3)}*", f"_{self.words(1, 3)}_")))
+            add("TEXT", rng.choice((" ", ". ", ", ")) + self.words(0, 3) + " ")
+        elif pick == 32:
+            self.new_line()
+            add("MARK", rng.choice(("", "", " ", "  ")) + rng.choice(("---", "-----", "***", "___", "----------", "=====")))
+            add("TEXT", "\n" + self.sentence())
+        elif pick == 33:
+            self.new_line()
+            title = self.words(1, 4).capitalize()
+            add("TITLE", title + "\n" + rng.choice("=-") * rng.choice((3, 5, len(title))))
+            add("TEXT", "\n" + self.sentence())
+        elif pick == 34:
+            self.new_line()
+            add("MARK", rng.choice(("{|", '{| class="wikitable"', f'{{| border="{rng.randint(1, 9)}"')))
+            add("TEXT", "\n")
+            for _ in range(rng.randint(1, 3)):
+                if rng.random() < 0.8:
+                    add("MARK", "|-")
+                    add("TEXT", "\n")
+                for _ in range(rng.randint(1, 3)):
+                    add("MARK", rng.choice(("| ", "| ", "! ", "|")))
+                    add("CELL", self.words(1, 3))
+                    add("TEXT", "\n")
+            add("MARK", "|}")
+            add("TEXT", "\n")
         else:
             add("MARK", rng.choice((f"~\\cite{{{self.word()}{rng.randint(1, 99)}}}", f"\\ref{{{self.word()}}}", "\\%", "\\&", "\\_", f"\\label{{{self.word()}}}")))
 
@@ -453,10 +497,10 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[Block], list[i
 @lru_cache(maxsize=2)
 def trained(count: int = 600, seed: int = 11) -> ChainField:
     """The field of `count` generated pages; the same pages for the same seed."""
-    return fit([(features(page), gold) for _, page, gold in labelled_pages(count, seed) if len(page) <= 40])
+    return fit([(features(page), gold) for _, page, gold in labelled_pages(count, seed)])
 
 
-_INLINE = {"wiki_heading", "heading_command", "strong", "quotes", "wiki_link", "ext_link", "link", "image", "text_command", "slant"}
+_INLINE = {"setext", "wiki_heading", "heading_command", "strong", "quotes", "wiki_link", "ext_link", "link", "image", "text_command", "slant"}
 
 
 def _inner(b: Block) -> str:
@@ -468,6 +512,8 @@ def _inner(b: Block) -> str:
         return text[2:-2].rpartition("|")[2]
     if b.kind in ("link", "image"):
         return text[text.index("[") + 1 : text.index("]")]
+    if b.kind == "setext":
+        return text.partition("\n")[0].strip()
     if b.kind in ("text_command", "heading_command", "command"):
         return text[text.rindex("{") + 1 : -1] if text.endswith("}") else ""
     return text.strip("*_~'=`# \t")
@@ -493,15 +539,15 @@ def render(page: list[Block], labels: list[int]) -> str:
         elif label == "ENTITY":
             out.append(html.unescape(text).replace("\xa0", " "))
         elif label == "INLINE":
-            out.append(_inner(b))
+            out.append(text if b.kind in ("prose", "sign", "row", "cell") else _inner(b))
         elif label == "MARK":
             name = _TAG_NAME.match(text)
             if b.kind in ("tag", "cut_tag") and name and name[2].lower() in _BREAKING:
                 newline()
             elif b.kind == "escape":
                 out.append(text[1:])
-            elif b.kind == "image":
-                out.append(_inner(b))
+            elif b.kind in _INLINE or b.kind in ("row", "prose"):
+                out.append(_inner(b) if b.kind in _INLINE else text)  # words of the page stay whatever their label
         elif label == "CODE":
             body = text.strip("`")
             if "\n" in body.strip("\n"):
@@ -545,8 +591,8 @@ def clean(page: str, field: ChainField) -> tuple[list[str], str]:
 def residue(texts: DataFrame, pages: int = 600, seed: int = 11) -> DataFrame:
     """(doc_id, roles, cleaned) of the texts with at least one block that is no plain text.
 
-    texts: doc_id and text; other columns are ignored. Null and empty texts have none. The field is trained once, on
-    the driver, on generated pages.
+    texts: doc_id and text; received_at is passed on where it is there, other columns are ignored. Null and empty texts
+    have none. The field is trained once, on the driver, on generated pages.
     """
     field = trained(pages, seed)
     sent = texts.sparkSession.sparkContext.broadcast((field.emit.astype(np.float32), field.move.astype(np.float32)))
@@ -558,10 +604,15 @@ def residue(texts: DataFrame, pages: int = 600, seed: int = 11) -> DataFrame:
         for batch in batches:
             rows = [(i, *clean(t, field)) for i, t in enumerate(batch.column("text").to_pylist())]
             rows = [r for r in rows if r[1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string())],
-                ["doc_id", "roles", "cleaned"],
-            )
+            at = pa.array([r[0] for r in rows], pa.int64())
+            columns = [*(batch.column(c).take(at) for c in kept), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "roles", "cleaned"])
+
+    kept = [c for c in ("doc_id", "received_at") if c in texts.columns]
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept) + ", roles array<string>, cleaned string"
+    return texts.select(*kept, "text").where(F.col("text").rlike(TRIGGER)).mapInArrow(run, schema)
+
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").where(F.col("text").rlike(TRIGGER)).mapInArrow(run, f"doc_id {kind}, roles array<string>, cleaned string")
+def review_residue(reviews: DataFrame) -> DataFrame:
+    """(doc_id, roles, cleaned) of the reviews whose last delivery has residue; every delivery is looked through."""
+    return of_last_delivery(residue(reviews.select("doc_id", "received_at", "text")), reviews)

@@ -75,12 +75,12 @@ def p6_restored(spark, folder):
 
 @llm.query("p4_found")
 def p4_found(spark, folder):
-    return markup.residue(_review_texts(spark, folder)).select("doc_id")
+    return markup.review_residue(read(spark, folder, "reviews")).select("doc_id")
 
 
 @llm.query("p4_cleaned")
 def p4_cleaned(spark, folder):
-    return markup.residue(_review_texts(spark, folder)).withColumn("roles", F.array_join("roles", " "))
+    return markup.review_residue(read(spark, folder, "reviews")).withColumn("roles", F.array_join("roles", " "))
 
 
 @llm.query("p8_found")

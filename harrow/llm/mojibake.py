@@ -1,9 +1,12 @@
 """Text that was read in the wrong character encoding: find it and give back the original.
 
 A multinomial classifier over hashed byte bigrams predicts, for each run of non-ASCII characters with its two neighbours,
-the chain of wrong readings that produced it. The chain is then inverted, and only a strict decode counts: every byte
-must have a character and the bytes must be valid UTF-8. Training garbles clean text with every chain: a bounded sample
-of the collection's own texts and generated words over many alphabets.
+the chain of wrong readings that produced it: UTF-8 read as a single-byte encoding once or more, UTF-8 read as an East
+Asian encoding, or one single-byte encoding read as another. The chain is then inverted. Sequences of UTF-8 must decode
+strictly; a text counts as complete only where every garbled run decoded as a whole. One single-byte reading as another
+always decodes, so it needs evidence besides: whole words that become words of one script, or several letters of the
+wrong case or script inside words. Training garbles clean text with every chain: a bounded sample of the collection's own
+runs and generated words over many alphabets.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.sources.tables import of_last_delivery
+
 #: Single-byte encodings in which UTF-8 is commonly misread: fixed values, likeliest first.
 CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-15", "iso8859-2", "cp1254", "cp1253", "koi8-r", "cp866", "mac_latin2")
 #: What makes an encoding less likely than the common ones, in log-probability.
@@ -26,11 +31,20 @@ RARITY = {"iso8859-15": 3.0, "iso8859-2": 2.0, "cp1254": 3.0, "cp1253": 2.0, "ko
 #: Chains of one wrong reading and of two; what a case change does to garbled text counts as part of the chain.
 CHAINS = tuple((c,) for c in CODECS) + tuple((a, b) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437")) + (("cp1252", "cp1252", "cp1252"),)
 CASES = ("", "lower", "upper")
-LABELS = ("clean", "lost", *(">".join(c) + (f">{k}" if k else "") for c in CHAINS for k in CASES))
+#: East Asian encodings in which UTF-8 is misread: fixed values.
+MULTI = ("cp932", "gbk")
+#: Single-byte encodings (written, read) of which one is misread as the other: fixed values.
+CYRILLIC = (("cp1251", "cp1252"), ("koi8-r", "cp1252"))
+LATIN = (("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp850", "cp1252"))
+READINGS = {f"{written}/{read}": (written, read) for written, read in CYRILLIC + LATIN}
+LABELS = ("clean", "lost", *(">".join(c) + (f">{k}" if k else "") for c in CHAINS for k in CASES), *MULTI, *READINGS)
+#: Readings whose common signs of three bytes are also recognised where the last byte is gone.
+CUT_SHORT = ("cp1252", "latin-1", "cp1250", "cp1251")
 BUCKETS = 1 << 13
 #: A chain is tried if its log-probability is at most this far below that of clean text.
 MARGIN = 12.0
 RUN = re.compile(r"[^\x00-\x7f]+")
+EAST_ASIAN = re.compile(r"[\u2e80-\u9fff\uac00-\ud7a3\uff01-\uffee]")
 PIECE = re.compile(r"[^\x00-\x7f\u2e80-\u9fff\uac00-\ud7a3\uff01-\uffee]+")
 #: Alphabets of the generated training words: fixed values, first and last code point.
 ALPHABETS = ((0xC0, 0xFF), (0xE0, 0xFC), (0xA1, 0xBF), (0x2010, 0x2026), (0x20AC, 0x20AC), (0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x3041, 0x3096), (0x4E00, 0x9FA0), (0x2190, 0x2265), (0x2500, 0x2606))
@@ -53,6 +67,37 @@ def _table(codec: str) -> tuple[dict[int, str], dict[str, int]]:
     return chars, back
 
 
+def misread(text: str, written: str, read: str) -> str | None:
+    """Bytes of one single-byte encoding read in another; None where a character has no byte or becomes a control."""
+    back, chars = _table(written)[1], _table(read)[0]
+    if any(ord(c) > 127 and c not in back for c in text):
+        return None
+    out = "".join(c if ord(c) < 128 else chars[back[c]] for c in text)
+    return None if any(0x80 <= ord(c) < 0xA0 for c in out) else out
+
+
+def undo_multi(run: str, codec: str) -> str | None:
+    """The UTF-8 text that an East Asian reading shows as the whole run; None where its bytes are none."""
+    try:
+        text = run.encode(codec).decode("utf-8")
+    except UnicodeError:
+        return None
+    return text if "\ufffd" in text or (all(map(_plausible, text)) and _one_script(text)) else None
+
+
+def cut_short(run: str, codec: str) -> bool:
+    """Whether a run is UTF-8 but for its last sequence, which has two bytes or more and lacks its end."""
+    back = _table(codec)[1]
+    if any(c not in back for c in run):
+        return False
+    data = bytes(back[c] for c in run)
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError as fault:
+        return fault.reason == "unexpected end of data" and len(data) - fault.start > 1
+    return False
+
+
 def garble(text: str, chain: tuple[str, ...], case: str = "") -> str:
     """text as the chain of wrong readings shows it."""
     for codec in chain:
@@ -123,6 +168,8 @@ def undo(run: str, chain: tuple[str, ...], case: str = "") -> str | None:
     Characters of a run that no valid sequence covers must be what clean text holds: no control character may remain.
     Where the case changed, sequences must cover all of the run.
     """
+    if chain[0] in MULTI:
+        return undo_multi(run, chain[0])
     text = run
     for step, codec in enumerate(reversed(chain)):
         result = _undo(text, codec, case if step == 0 else "")
@@ -166,11 +213,67 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def pieces(text: str) -> list[tuple[int, int, str, str]]:
-    """The runs without East Asian signs, which no wrong reading gives, with the characters around them."""
+    """The runs with the characters around them; those with East Asian signs whole where they are UTF-8 misread as such
+    an encoding, else their parts without these signs, which no other wrong reading gives."""
+    out = []
+    for run in RUN.finditer(text):
+        asian = EAST_ASIAN.search(run[0]) and any(undo_multi(run[0], c) is not None for c in MULTI)
+        for m in [run] if asian or not EAST_ASIAN.search(run[0]) else PIECE.finditer(text, *run.span()):
+            around = (text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1])
+            out.append((*m.span(), *("" if RUN.match(c) else c for c in around)))
+    return out
+
+
+_ACCENTED = re.compile(r"[\u00c0-\u00ff]{4}")
+_WORDS = re.compile(r"[A-Za-z\u00c0-\u024f\u0080-\u00bf]*[\u00c0-\u00ff]+[A-Za-z\u00c0-\u024f]*")
+#: Typographic signs that stand between letters in correct text: fixed values.
+_BETWEEN = frozenset("\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u2026\u2022\u2122\u00ae\u00a9\u00b0\u00b4\u00b7\u00ad")
+
+
+def cyrillic_words(text: str, written: str, read: str) -> list[tuple[int, int, str]]:
+    """Words of accented Latin letters, and no other, that become Russian words: (start, end, original).
+
+    One of them must have six letters, or two four; then shorter ones count too.
+    """
+    out = []
+    for m in _WORDS.finditer(text):
+        original = misread(m[0], read, written)
+        if original is None or not all("\u0410" <= c <= "\u044f" or c in "\u0401\u0451" for c in original):
+            continue
+        vowels = sum(c in "\u0430\u0435\u0451\u0438\u043e\u0443\u044b\u044d\u044e\u044f" for c in original.lower())
+        if vowels and (vowels < len(original) or len(original) < 3) and (original.islower() or original.isupper() or original.istitle()):
+            out.append((*m.span(), original))
+    longest = sorted((len(original) for _, _, original in out), reverse=True)
+    return out if longest and (longest[0] > 5 or longest[1:2] > [3]) else []
+
+
+def odd_letters(text: str) -> list[tuple[int, int, str]]:
+    """Runs within words that start with a capital, another script's letter or, before a small letter, a sign: (start, end, run)."""
+    return [
+        (a, b, text[a:b]) for a, b, before, after in pieces(text)
+        if before.islower() and text[a] not in _BETWEEN and not (text[a].islower() and ord(text[a]) < 0x370) and (text[a].isalpha() or after.islower())
+    ]
+
+
+def latin_letters(odd: list[tuple[int, int, str]], written: str, read: str) -> list[tuple[int, int, str]]:
+    """The odd letters that become small Latin ones, if they are two at least: (start, end, original)."""
+    out = []
+    for start, end, run in odd:
+        original = misread(run, read, written)
+        if original is not None and all("\u00df" <= c <= "\u00ff" and c.isalpha() for c in original):
+            out.append((start, end, original))
+    return out if len(out) > 1 else []
+
+
+def lost_blanks(text: str) -> list[tuple[int, int, str]]:
+    """Letters whose second byte became a blank: a with grave accent, and the no-break space itself."""
     out = []
-    for m in PIECE.finditer(text):
-        around = (text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1])
-        out.append((*m.span(), *("" if RUN.match(c) else c for c in around)))
+    for m in re.finditer("[\u00c3\u00c2] (?P<more> ?)", text):
+        before = text[m.start() - 1 : m.start()]
+        single = not before or before.isspace() or before in "(\"'"
+        grave = m[0][0] == "\u00c3"
+        if before.islower() or (single and (m["more"] or text[m.end() : m.end() + 1].islower() or not grave)) or (not grave and before and not before.isalpha()):
+            out.append((m.start(), m.end(), ("\u00e0 " if grave else " ")))
     return out
 
 
@@ -222,13 +325,18 @@ def train(samples: list[str], words: int = 1200, seed: int = 7) -> ChainModel:
     for text in texts:
         learn(0, text)
         learn(1, RUN.sub("�", text))
+        for codec in MULTI:
+            learn(LABELS.index(codec), text.encode("utf-8").decode(codec, "ignore"))
+        for name, (written, read) in READINGS.items():
+            learn(LABELS.index(name), misread(text, written, read) or "")
         label = 2
         for chain in CHAINS:
             base = garble(text, chain)
             for case in CASES:
                 learn(label, base.lower() if case == "lower" else base.upper() if case == "upper" else base)
                 label += 1
-    priors = np.array([0.0, -1.0, *(-1.0 - len(c) / 2 - bool(k) - RARITY.get(c[-1], 0.0) for c in CHAINS for k in CASES)])
+    chains = (-1.0 - len(c) / 2 - bool(k) - RARITY.get(c[-1], 0.0) for c in CHAINS for k in CASES)
+    priors = np.array([0.0, -1.0, *chains, *(-3.0 for _ in (*MULTI, *READINGS))])
     return ChainModel(np.log(counts / counts.sum(axis=1, keepdims=True)), priors)
 
 
@@ -237,7 +345,7 @@ class Repairer:
 
     def __init__(self, model: ChainModel) -> None:
         self.model = model
-        self.chains = {">".join(c) + (f">{k}" if k else ""): (c, k) for c in CHAINS for k in CASES}
+        self.chains = {">".join(c) + (f">{k}" if k else ""): (c, k) for c in CHAINS for k in CASES} | {c: ((c,), "") for c in MULTI}
         self.span = lru_cache(maxsize=50_000)(self._span)
 
     def _span(self, before: str, run: str, after: str) -> list[tuple[float, str, str | None]]:
@@ -261,16 +369,58 @@ class Repairer:
             if case and undo(run, chain) is not None and not (case == "upper" and before.isupper()):
                 continue
             if (text := undo(run, chain, case)) is not None:
+                if label in MULTI and not self._reads_on(before, run, after, text):
+                    continue
+                if "\ufffd" in text:
+                    fitting.append((score, label, None))
+                    continue
                 odd = (before.islower() and text[0].isupper()) or (after.islower() and text[-1].isupper() and before.isalpha())
                 fitting.append((score - 6.0 * odd, label, text))
+        short = next((s for label, s in ranked if label in CUT_SHORT and s >= clean - MARGIN and cut_short(run, label)), None)
+        if short is not None and short > max((f[0] for f in fitting), default=short - 1):
+            return [(short, "cut short", None)]
         if not fitting:
             for label, score in ranked:
                 if score < clean - MARGIN:
                     break
-                if label in self.chains and garbled_beyond_restoring(before, run, *self.chains[label], score - clean):
+                if label in self.chains and label not in MULTI and garbled_beyond_restoring(before, run, *self.chains[label], score - clean):
                     return [(score, label, None)]
         return sorted(fitting, key=lambda f: -f[0])
 
+    @staticmethod
+    def _reads_on(before: str, run: str, after: str, text: str) -> bool:
+        """Whether an East Asian run may be taken for other text: three signs or more for words of such a script or lost
+        characters; for Latin letters a neighbour of the same word."""
+        if "\ufffd" in text or any(ord(c) >= 0x370 for c in text):
+            return len(run) > 2
+        return (before.isascii() and before.isalpha()) or (after.isascii() and after.isalpha()) or len(text) > 2
+
+    def other_readings(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
+        """(label, replacements) of one single-byte encoding read as another, or of blanks in the place of bytes.
+
+        Cyrillic must be as likely as clean text but for the margin, by the classifier; of several chains the likeliest
+        counts, by the number of its words first.
+        """
+        best: tuple[int, float, str, list] = (0, 0.0, "", [])
+        accented, odd = _ACCENTED.search(text), odd_letters(text)
+        for label, (written, read) in READINGS.items():
+            if (written, read) in CYRILLIC:
+                found = cyrillic_words(text, written, read) if accented else []
+            else:
+                found = latin_letters(odd, written, read) if len(odd) > 1 else []
+            if not found:
+                continue
+            score, clean = 0.0, 0.0
+            for start, end, _ in found:
+                ranked = dict(self.model.ranked(_around(text, start, end)))
+                score, clean = score + ranked[label], clean + ranked["clean"]
+            if score >= clean - MARGIN * len(found) and (len(found), score) > best[:2] or not best[2] and score >= clean - MARGIN * len(found):
+                best = (len(found), score, label, found)
+        if best[2]:
+            return best[2], best[3]
+        blanks = lost_blanks(text) if "\u00c3 " in text or "\u00c2 " in text else []
+        return ("cp1252", blanks) if blanks else ("", [])
+
     def repair(self, text: str) -> tuple[list[str], str, bool]:
         """(chains found, the text with originals put back, whether all were restored).
 
@@ -294,24 +444,33 @@ class Repairer:
                 continue
             out += [text[last:start], original]
             last = end
-        return found, "".join([*out, text[last:]]), whole
+        restored = "".join([*out, text[last:]])
+        label, others = self.other_readings(restored) if not restored.isascii() else ("", [])
+        for start, end, original in reversed(others):
+            restored = restored[:start] + original + restored[end:]
+        return found + [label] * len(others), restored, whole
 
 
-def sample_texts(texts: DataFrame, rows: int) -> list[str]:
-    """At most `rows` texts with non-ASCII characters, the same ones for the same texts."""
-    foreign = texts.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text", F.xxhash64("text").alias("h"))
-    return [r["text"] for r in foreign.orderBy("h", "text").limit(rows).collect()]
+def sample_runs(texts: DataFrame, rows: int, longest: int = 60) -> list[str]:
+    """At most `rows` different runs of non-ASCII characters with their neighbours, cut after `longest` characters; the
+    same ones for the same texts."""
+    found = F.regexp_extract_all("text", F.lit(r"([\x00-\x7F]?[^\x00-\x7F]+[\x00-\x7F]?)"), F.lit(1))
+    foreign = texts.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(F.explode(F.array_distinct(found)).alias("run"))
+    distinct = foreign.select(F.substring("run", 1, longest).alias("run")).distinct()
+    return [r["run"] for r in distinct.orderBy(F.xxhash64("run"), "run").limit(rows).collect()]
 
 
-def garbled(texts: DataFrame, model: ChainModel | None = None, sample_rows: int = 500) -> DataFrame:
+def garbled(texts: DataFrame, model: ChainModel | None = None, sample_rows: int = 800) -> DataFrame:
     """(doc_id, chain, restored, complete) of the texts with at least one garbled sequence.
 
-    texts: doc_id and text; other columns are ignored. chain: the first chain found, 'lost' where characters were
-    replaced for good. restored: the text with all invertible sequences put back. complete: nothing stays garbled.
-    Null, empty and ASCII texts are never garbled. Without a model, one is trained on at most sample_rows texts.
+    texts: doc_id and text; received_at is passed on where it is there, other columns are ignored. chain: the first chain
+    found, 'lost' where characters were replaced for good, 'cut short' where a byte is gone. restored: the text with all
+    invertible sequences put back. complete: nothing stays garbled. Null, empty and ASCII texts are never garbled.
+    Without a model, one is trained on at most sample_rows runs of the collection.
     """
-    model = model or train(sample_texts(texts, sample_rows))
+    model = model or train(sample_runs(texts, sample_rows))
     sent = texts.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.priors))
+    kept = [c for c in ("doc_id", "received_at") if c in texts.columns]
 
     def run(batches):
         import pyarrow as pa
@@ -320,11 +479,15 @@ def garbled(texts: DataFrame, model: ChainModel | None = None, sample_rows: int
         for batch in batches:
             rows = [(i, *repairer.repair(t)) for i, t in enumerate(batch.column("text").to_pylist())]
             rows = [r for r in rows if r[1]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1][0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())],
-                ["doc_id", "chain", "restored", "complete"],
-            )
-
-    foreign = texts.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return foreign.mapInArrow(run, f"doc_id {kind}, chain string, restored string, complete boolean")
+            at = pa.array([r[0] for r in rows], pa.int64())
+            columns = [*(batch.column(c).take(at) for c in kept), pa.array([r[1][0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "chain", "restored", "complete"])
+
+    foreign = texts.select(*kept, "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept) + ", chain string, restored string, complete boolean"
+    return foreign.mapInArrow(run, schema)
+
+
+def garbled_reviews(reviews: DataFrame) -> DataFrame:
+    """(doc_id, chain, restored, complete) of the reviews whose last delivery is garbled; every delivery is looked through."""
+    return of_last_delivery(garbled(reviews.select("doc_id", "received_at", "text")), reviews)

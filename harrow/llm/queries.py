@@ -59,18 +59,14 @@ def p3_fused(spark, folder):
     return fusion.in_order(fused, "query_id", "doc_id").withColumn("fused", F.round("fused", 9))
 
 
-def _review_texts(spark, folder):
-    return distinct_reviews(read(spark, folder, "reviews"), ["text"])
-
-
 @llm.query("p6_found")
 def p6_found(spark, folder):
-    return mojibake.garbled(_review_texts(spark, folder)).select("doc_id")
+    return mojibake.garbled_reviews(read(spark, folder, "reviews")).select("doc_id")
 
 
 @llm.query("p6_restored")
 def p6_restored(spark, folder):
-    return mojibake.garbled(_review_texts(spark, folder))
+    return mojibake.garbled_reviews(read(spark, folder, "reviews"))
 
 
 @llm.query("p4_found")

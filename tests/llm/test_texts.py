@@ -230,7 +230,7 @@ def test_features_of_odd_pages():
     import pyarrow as pa
 
     found = spam.features(pa.array([None, "", "\n", PROSE, "http://a.b/c"]))
-    assert set(found) == set(spam.FEATURES) and all(len(v) == 5 and np.isfinite(v).all() for v in found.values())
+    assert set(found) == set(spam.COLUMNS) and all(len(v) == 5 and np.isfinite(v).all() for v in found.values())
     assert found["loose"].tolist()[:3] == [0.0, 0.0, 0.0] and found["loose"][3] < 0.2 and found["loose"][4] == 1.0
     alone = spam.features(pa.array([PROSE]))
     assert all(abs(found[f][3] - alone[f][0]) < 1e-12 for f in spam.FEATURES)

@@ -13,12 +13,16 @@ miss partial copies, whose fingerprints are far from the item's.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.ordering import running_sum
+from harrow.plans.durable import cut
+
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 3
 SHINGLE = 5
 #: Items go to the executors in groups of at most this many words; each group reads the documents once.
@@ -248,6 +252,32 @@ def best_passage(item: np.ndarray, document: np.ndarray, hits: np.ndarray) -> tu
     return best
 
 
+def item_groups(items: DataFrame, group_words: int) -> DataFrame:
+    """(item_id, hashes, kind, number): the items with their word hashes as bytes, in groups (kind, number) of at most
+    group_words words and one item. kind: the run of words that passages keep, up to SHINGLE; short items would narrow
+    the windows of all. Items without words are left out, of repeated rows one stays.
+    """
+    import pyarrow as pa
+
+    from harrow.llm.batches import tokens
+
+    def run(batches):
+        for batch in batches:
+            words, rows = tokens(batch.column("text"))
+            hashes = word_hashes(words.to_pylist())
+            bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            held = [i for i in range(batch.num_rows) if bounds[i + 1] > bounds[i]]
+            cut = [hashes[bounds[i] : bounds[i + 1]] for i in held]
+            kinds = [min(SHINGLE, kept_run(len(c))) for c in cut]
+            columns = [batch.column("item_id").take(pa.array(held, pa.int64())), pa.array([c.tobytes() for c in cut], pa.binary()), pa.array([len(c) for c in cut], pa.int64()), pa.array(kinds, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "hashes", "size", "kind"])
+
+    texts = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    coded = texts.mapInArrow(run, "item_id long, hashes binary, size long, kind int")
+    summed = running_sum(coded, ["kind"], [F.col("item_id"), F.col("hashes")], "size", "upto")
+    return cut(summed.select("item_id", "hashes", "kind", F.floor((F.col("upto") - F.col("size")) / group_words).alias("number")))
+
+
 def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
     """(doc_id, item_id, share, first_word, last_word) of each item and document that holds a passage of it.
 
@@ -258,53 +288,53 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
     """
     import pyarrow as pa
 
-    from harrow.llm.batches import coded, tokens
-
-    table = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toArrow()
-    words, rows = tokens(table["text"].combine_chunks()) if table.num_rows else (pa.array([], pa.string()), np.zeros(0, int))
-    hashes = word_hashes(words.to_pylist())
-    bounds = np.searchsorted(rows, np.arange(table.num_rows + 1))
-    all_items = [(table["item_id"][i].as_py(), hashes[a:b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-    groups: list[list] = [[]]
-    held = 0
-    kinds = [min(SHINGLE, kept_run(len(words))) for _, words in all_items]  # short items would narrow the windows of all
-    for kind, entry in sorted(zip(kinds, all_items, strict=True), key=lambda k: k[0]):
-        if groups[-1] and (held + len(entry[1]) > group_words or kind != min(SHINGLE, kept_run(len(groups[-1][-1][1])))):
-            groups.append([])
-            held = 0
-        groups[-1].append(entry)
-        held += len(entry[1])
-    context = documents.sparkSession.sparkContext
+    from harrow.llm.batches import coded
+
+    context, groups = documents.sparkSession.sparkContext, []
+    grouped = item_groups(items, group_words)
+    for kind, number in sorted((r["kind"], r["number"]) for r in grouped.select("kind", "number").distinct().collect()):
+        rows = grouped.where((F.col("kind") == kind) & (F.col("number") == number)).orderBy("item_id").select("item_id", "hashes").collect()
+        words = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        groups.append(context.broadcast(([r["item_id"] for r in rows], words, window_width([len(w) for w in words]))))
 
     def search(sent):
         def run(batches):
             index = ItemIndex(*sent.value).build()
             width = index.items.width
             least = [least_shingles(len(w)) for w in index.items.words]
+            sizes = np.array([len(w) for w in index.items.words], np.int64)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     out = []
                     terms, codes, owner = coded(part.column("text"))
                     known = word_hashes(terms.to_pylist())
-                    table, hits = signs(known), {}
+                    table, found = signs(known), []
                     for begin in range(0, len(codes), CHUNK):
                         stretch = codes[begin : begin + CHUNK + width - 1]
                         prints = fingerprints(stretch, table, width)
                         places = begin + np.flatnonzero(owner[begin : begin + len(prints)] == owner[begin + width - 1 : begin + width - 1 + len(prints)])
                         left, right = index.near(prints[places - begin])
-                        for place, value in zip(places[left].tolist(), right.tolist(), strict=True):
-                            for item in index.owners[index.first[value] : index.first[value + 1]].tolist():
-                                hits.setdefault((int(owner[place]), item), []).append(place)
-                    edges = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                        # Every item that has the window: wording of many items gives a hit for each of them.
+                        places, counts = places[left], index.first[right + 1] - index.first[right]
+                        ends = np.cumsum(counts)
+                        item = index.owners[np.arange(counts.sum()) - np.repeat(ends - counts, counts) + np.repeat(index.first[right], counts)]
+                        places = np.repeat(places, counts)
+                        pair = owner[places] * len(index.items.ids) + item
+                        found.append(np.unique(np.stack([pair, places // (4 * sizes[item]), places]), axis=1))
+                    hits = np.unique(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), axis=1)
+                    begins = np.flatnonzero(np.diff(hits[0], prepend=-1))
+                    edges = np.searchsorted(owner, np.arange(part.num_rows))
+                    edges = np.append(edges, len(codes))
                     cut: dict[int, np.ndarray] = {}
-                    for (document, item), near in sorted(hits.items()):
-                        begin = edges[document]
+                    for first, last in zip(begins.tolist(), [*begins[1:].tolist(), hits.shape[1]], strict=True):
+                        document, item = divmod(int(hits[0, first]), len(index.items.ids))
+                        begin, near = edges[document], hits[2, first:last]
                         own = known[codes[begin : edges[document + 1]]]
                         if document not in cut:
                             cut = {document: np.unique(shingles(own))}
                         if index.similarity(item, cut[document]) >= least[item]:
-                            if passage := best_passage(index.items.words[item], own, np.array(near) - begin):
+                            if passage := best_passage(index.items.words[item], own, near - begin):
                                 out.append((document, index.items.ids[item], *passage))
                     columns = list(zip(*out, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays(
@@ -316,10 +346,6 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, share double, first_word int, last_word int"
-    result = None
-    for group in groups:
-        width = window_width([len(w) for _, w in group])
-        sent = context.broadcast(([i for i, _ in group], [w for _, w in group], width))
-        own = documents.select("doc_id", "text").mapInArrow(search(sent), schema)
-        result = own if result is None else result.unionByName(own)
-    return result
+    if not groups:
+        return documents.sparkSession.createDataFrame([], schema)
+    return functools.reduce(DataFrame.unionByName, (documents.select("doc_id", "text").mapInArrow(search(sent), schema) for sent in groups))

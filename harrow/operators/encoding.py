@@ -45,3 +45,56 @@ def term_length_records(dictionary: DataFrame) -> DataFrame:
     longer = Window.orderBy(F.desc("num_chars")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each length
     later = F.min("term").over(longer)
     return first.withColumn("__next", later).where(F.col("__next").isNull() | (F.col("term") < F.col("__next"))).select("term", "num_chars")
+
+
+#: Ids of one byte string of encoded_postings(): lists of any length come in rows of bounded size.
+BYTE_BLOCK = 1 << 16
+
+
+def encoded_postings(gaps: DataFrame) -> DataFrame:
+    """(term, block, first_id, data): posting lists in group varint as gap, tf, gap, tf, ..., in blocks of doc_id.
+
+    first_id is the doc_id of the block's first posting, whose gap is written as 1; so a block decodes on its own.
+    gaps: as from posting_gaps().
+    """
+    import pyarrow as pa
+
+    from harrow.functions.codecs import group_varint_encode
+
+    def run(batches):
+        for batch in batches:
+            data = [group_varint_encode([n for i, e in enumerate(entries) for n in (e["gap"] if i else 1, e["tf"])]) for entries in batch.column("entries").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), batch.column("first_id"), pa.array(data, pa.binary())], ["term", "block", "first_id", "data"])
+
+    entry = F.struct("doc_id", "gap", "tf")
+    grouped = gaps.groupBy("term", F.floor(F.col("doc_id") / BYTE_BLOCK).alias("block")).agg(F.min("doc_id").alias("first_id"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return grouped.mapInArrow(run, "term string, block long, first_id long, data binary")
+
+
+def decoded_postings(encoded: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of encoded_postings()."""
+    import numpy as np
+    import pyarrow as pa
+
+    from harrow.functions.codecs import group_varint_decode
+
+    def run(batches):
+        for batch in batches:
+            for term, first, data in zip(*(batch.column(c).to_pylist() for c in ("term", "first_id", "data")), strict=True):
+                numbers = np.fromiter(group_varint_decode(data), np.int64)
+                ids = np.cumsum(numbers[::2]) + (first - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([term] * len(ids), pa.string()), pa.array(ids), pa.array(numbers[1::2])], ["term", "doc_id", "tf"])
+
+    return encoded.mapInArrow(run, "term string, doc_id long, tf long")
+
+
+def front_decoded(coded: DataFrame, block: int = 4) -> DataFrame:
+    """(term_index, term) from (term_index, block_pos, prefix_length, suffix): a fold over the few terms of each block."""
+    entry = F.struct("block_pos", "prefix_length", "suffix")
+    grouped = coded.groupBy(F.floor(F.col("term_index") / block).alias("__block")).agg(F.sort_array(F.collect_list(entry)).alias("__e"))
+
+    def add(terms, e):
+        return F.concat(terms, F.array(F.concat(F.substr(F.coalesce(F.try_element_at(terms, F.lit(-1)), F.lit("")), F.lit(1), e["prefix_length"]), e["suffix"])))
+
+    folded = grouped.select("__block", F.posexplode(F.aggregate("__e", F.array().cast("array<string>"), add)).alias("__pos", "term"))
+    return folded.select((F.col("__block") * block + F.col("__pos")).alias("term_index"), "term")

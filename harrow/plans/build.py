@@ -13,7 +13,7 @@ from harrow.plans.durable import cut, shared_folder
 from harrow.sources.review_text import parse_records, read_records
 from harrow.sources.tables import canonical_reviews, read
 
-__all__ = ["build_from_file", "build_from_table", "remove_index", "review_index"]
+__all__ = ["IndexWriter", "build_from_file", "build_from_table", "remove_index", "review_index"]
 
 #: Indexes of this process: (application, folder, what its review files are) -> the opened index.
 _opened: dict[tuple, ReviewIndex] = {}
@@ -55,3 +55,18 @@ def review_index(spark: SparkSession, folder: str) -> ReviewIndex:
         name = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         _opened[key] = build_from_table(read(spark, folder, "reviews"), name)
     return _opened[key]
+
+
+class IndexWriter:
+    """The file interface: a review file becomes an index folder. slow_write() is the older name of write()."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def write(self, input_file: str, folder: str) -> None:
+        build_from_file(self.spark, input_file, folder)
+
+    slow_write = write
+
+    def remove_index(self, folder: str) -> None:
+        remove_index(self.spark, folder)

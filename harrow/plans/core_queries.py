@@ -13,7 +13,7 @@ from harrow.operators import encoding, index, lookup, ordering, rank, scenario,
 from harrow.plans.build import build_from_table, review_index
 from harrow.plans.durable import shared_folder
 from harrow.plans.registry import Registry
-from harrow.sources import records, review_text
+from harrow.sources import build_log, records, review_text
 from harrow.sources.tables import canonical_reviews, read
 
 core = Registry()
@@ -131,6 +131,17 @@ def scenario_postings(spark, folder):
     return scenario.scenario(reviews, index.postings(reviews))
 
 
+@core.query(
+    "scenario_lists",
+    f"""WITH {POSTINGS_SQL}, l AS (SELECT 'term' AS kind, term AS name, doc_id, tf FROM po UNION ALL SELECT 'product', product_id, doc_id, 1 FROM rv WHERE product_id IS NOT NULL)
+    SELECT kind, name, floor(doc_id / 65536)::BIGINT AS block, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS entries FROM l GROUP BY ALL""",
+)
+def scenario_lists(spark, folder):
+    opened = review_index(spark, folder)
+    lists = scenario.scenario_lists(opened.reviews, opened.postings)
+    return lists.withColumn("entries", F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["doc_id"].cast("string"), e["tf"].cast("string"))), " "))
+
+
 @core.query("dictionary_table", f"WITH {POSTINGS_SQL} SELECT * FROM di")
 def dictionary_table(spark, folder):
     return _dictionary(spark, folder)
@@ -424,6 +435,19 @@ def front_coding(spark, folder):
     return encoding.front_coding(review_index(spark, folder).dictionary)
 
 
+@core.query("group_varint_decoded", f"WITH {POSTINGS_SQL} SELECT * FROM po")
+def group_varint_decoded(spark, folder):
+    """Every posting list in bytes and back again."""
+    return encoding.decoded_postings(encoding.encoded_postings(encoding.posting_gaps(review_index(spark, folder).postings)))
+
+
+@core.query("front_decoded", f"WITH {POSTINGS_SQL} SELECT row_number() OVER (ORDER BY term) - 1 AS term_index, term FROM di")
+def front_decoded(spark, folder):
+    """The dictionary from its prefixes and suffixes."""
+    coded = encoding.front_coding(review_index(spark, folder).dictionary)
+    return encoding.front_decoded(coded.select("term_index", "block_pos", "prefix_length", F.substr("term", F.col("prefix_length") + 1).alias("suffix")))
+
+
 @core.query("external_sort", f"WITH {REVIEWS_SQL} SELECT product_id, doc_id, row_number() OVER (ORDER BY product_id, doc_id) AS place FROM rv WHERE product_id IS NOT NULL")
 def external_sort(spark, folder):
     rows = _reviews(spark, folder, False).where("product_id is not null").select("product_id", "doc_id")
@@ -459,6 +483,44 @@ def index_build(spark, folder):
     return functools.reduce(DataFrame.unionByName, counts)
 
 
+#: Index blocks as a build log tells them: one line of progress and one for the finished block, a minute apart.
+_BLOCKS_SQL = """b AS (SELECT block_id, count(*) AS n, sum(tf)::BIGINT AS tokens FROM postings WHERE block_id IS NOT NULL GROUP BY block_id),
+s AS (SELECT *, row_number() OVER (ORDER BY block_id) AS i, sum(tokens) OVER (ORDER BY block_id)::BIGINT AS upto, sum(n) OVER (ORDER BY block_id)::BIGINT AS size FROM b)"""
+
+
+def _build_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, sizes of the blocks) of the log that a build of the postings' blocks would write."""
+    blocks = read(spark, folder, "postings").where("block_id is not null").groupBy("block_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tokens"))
+    numbered = ordering.number_rows(blocks, [F.col("block_id")], "i")
+    summed = ordering.running_sum(numbered.withColumn("one", F.lit(1)), ["one"], [F.col("i")], "tokens", "upto")
+    time = F.format_string("[%d:%02d.07] ", F.floor(F.col("i") / 60), F.col("i") % 60)
+    processed = F.concat(time, F.format_string("Processed %,d tokens in the current index, a total of %,d tokens", "tokens", "upto"))
+    made = F.concat(time, F.format_string("Finished creating temporary index at /blocks/%d", "block_id"))
+    lines = summed.select(F.posexplode(F.array(processed, made)).alias("k", "value"), "i").select(F.lit("blocks").alias("dataset"), (F.col("i") * 2 + F.col("k")).alias("line_num"), "value")
+    return lines, blocks.select(F.format_string("/blocks/%d", "block_id").alias("path"), F.col("n").alias("size"))
+
+
+@core.query("build_log_progress", f"WITH {_BLOCKS_SQL} SELECT 'blocks' AS dataset, 2 * i AS line_num, 'invert' AS stage, ((i - 1) * 60)::INTEGER AS elapsed, upto AS num_tokens, NULL::BIGINT AS total_reviews FROM s")
+def build_log_progress(spark, folder):
+    return build_log.progress(_build_log(spark, folder)[0])
+
+
+@core.query(
+    "build_log_sizes",
+    f"WITH {_BLOCKS_SQL} SELECT 'blocks' AS dataset, 2 * i + 1 AS line_num, ((i - 1) * 60)::INTEGER AS elapsed, n AS index_size, size AS total_index_size FROM s",
+)
+def build_log_sizes(spark, folder):
+    return build_log.index_sizes(*_build_log(spark, folder))
+
+
+@core.query(
+    "build_log_summary",
+    f"WITH {_BLOCKS_SQL} SELECT 'blocks' AS dataset, max((i - 1) * 60)::INTEGER AS elapsed, NULL::BIGINT AS total_reviews, max(size) AS total_index_size FROM s HAVING count(*) > 0",
+)
+def build_log_summary(spark, folder):
+    return build_log.summary(*_build_log(spark, folder))
+
+
 @core.query("postings_check", "SELECT term, doc_id, 'repeated' AS fault FROM (SELECT term, doc_id FROM postings GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT term, doc_id, CASE WHEN coalesce(term, '') = '' THEN 'term' WHEN coalesce(doc_id, 0) < 1 THEN 'doc_id' ELSE 'tf' END FROM postings WHERE coalesce(term, '') = '' OR coalesce(doc_id, 0) < 1 OR coalesce(tf, 0) < 1")
 def postings_check(spark, folder):
     return index.check_postings(read(spark, folder, "postings"))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from harrow.operators.ordering import running_sum
 
-#: The line formats of the log. Groups: time, then the numbers or the path.
-TIME = r"^\[([0-9]+:[0-9]+.[0-9]+)\]"
-INVERTED = TIME + r" Processed.*a total of ([,0-9]+)"
-MERGED = TIME + r".So far merged a total of ([0-9,]+) tokens out of ([0-9,]+)"
-MADE_INDEX = TIME + r" Finished creating temporary index at (.*)"
+#: The line formats of the log. Groups: hours, minutes and seconds, then the numbers or the path.
+TIME = r"^\[([0-9]+):([0-9]+)\.([0-9]+)\] "
+INVERTED = TIME + r"Processed .*a total of ([0-9,]+)"
+MERGED = TIME + r"So far merged a total of ([0-9,]+) tokens out of ([0-9,]+)"
+MADE_INDEX = TIME + r"Finished creating temporary index at (.*)$"
 NUM_REVIEWS = r"^getNumberOfReviews: ([0-9]+)"
 
 
@@ -29,8 +29,8 @@ def _count(pattern: str, number: int) -> Column:
 
 
 def _seconds(pattern: str) -> Column:
-    parts = F.split(_group(pattern, 1), "[^0-9]")
-    return parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + parts[2].cast("int")
+    hours, minutes, seconds = (_group(pattern, i).cast("int") for i in (1, 2, 3))
+    return hours * 3600 + minutes * 60 + seconds
 
 
 def _started(lines: DataFrame) -> DataFrame:
@@ -43,14 +43,14 @@ def _started(lines: DataFrame) -> DataFrame:
 def progress(lines: DataFrame) -> DataFrame:
     """(dataset, line_num, stage, elapsed, num_tokens, total_reviews): stage invert or merge, elapsed in seconds."""
     stage = F.when(_group(INVERTED, 1).isNotNull(), "invert").when(_group(MERGED, 1).isNotNull(), "merge")
-    seconds, tokens = F.coalesce(_seconds(INVERTED), _seconds(MERGED)), F.coalesce(_count(INVERTED, 2), _count(MERGED, 2))
+    seconds, tokens = F.coalesce(_seconds(INVERTED), _seconds(MERGED)), F.coalesce(_count(INVERTED, 4), _count(MERGED, 4))
     rows = lines.select("dataset", "line_num", stage.alias("stage"), seconds.alias("s"), tokens.alias("num_tokens")).where("stage is not null")
     return rows.join(_started(lines), "dataset").select("dataset", "line_num", "stage", (F.col("s") - F.col("start")).alias("elapsed"), "num_tokens", "total_reviews")
 
 
 def index_sizes(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     """(dataset, line_num, elapsed, index_size, total_index_size): sizes has (path, size), 0 where a path is missing."""
-    made = lines.select("dataset", "line_num", _seconds(MADE_INDEX).alias("s"), _group(MADE_INDEX, 2).alias("path")).where("path is not null")
+    made = lines.select("dataset", "line_num", _seconds(MADE_INDEX).alias("s"), _group(MADE_INDEX, 4).alias("path")).where("path is not null")
     sized = made.join(sizes.groupBy("path").agg(F.sum("size").alias("size")), "path", "left").join(_started(lines), "dataset")
     rows = sized.select("dataset", "line_num", (F.col("s") - F.col("start")).alias("elapsed"), F.coalesce("size", F.lit(0)).alias("index_size"))
     return running_sum(rows, ["dataset"], [F.col("line_num")], "index_size", "total_index_size")

@@ -17,11 +17,8 @@ KEYS = {"product_id": "product/productId", "helpfulness": "review/helpfulness",
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Text files cut at record starts, so that large files split; column value. Bytes are taken as ISO-8859-1.
-
-    The text source reads UTF-8 only; tokens are ASCII, so what it makes of other bytes changes no token.
-    """
-    return spark.read.option("lineSep", f"\n{KEYS['product_id']}: ").text(path)
+    """Text files cut at record starts, so that large files split; column value. Bytes are taken as ISO-8859-1."""
+    return spark.read.option("lineSep", f"\n{KEYS['product_id']}: ").text(path).withColumn("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
 
 
 def _typed(fields: dict[str, Column]) -> list[Column]:

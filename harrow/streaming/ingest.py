@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from harrow.operators.index import postings
-from harrow.sources.tables import canonical_reviews
+from harrow.functions.text import raw_tokens
+from harrow.sources.tables import one_delivery
 
 
 def write_block(batch: DataFrame, block_id: int, folder: str) -> None:
-    """The postings of one batch of reviews, with the numbers that make re-deliveries recognisable later."""
-    postings(canonical_reviews(batch)).repartitionByRange("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/block_id={block_id}")
+    """(term, doc_id, tf, received_at) of one batch of reviews; a review without tokens has one row with a null term, so
+    that it replaces what an earlier delivery held."""
+    last = one_delivery(batch.withColumn("__at", F.col("received_at")), "doc_id", "received_at", ["__at", "text"])
+    terms = last.select("doc_id", F.col("__at").alias("received_at"), F.explode_outer(raw_tokens(F.col("text"))).alias("__raw"))
+    counted = terms.groupBy("doc_id", "received_at", F.lower("__raw").alias("term")).agg(F.count("*").alias("tf"))
+    counted.repartitionByRange("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/block_id={block_id}")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, folder: str, checkpoint: str) -> StreamingQuery:
@@ -26,5 +30,9 @@ def ingest(spark: SparkSession, source: str, schema: StructType, folder: str, ch
 
 
 def merged_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """(term, doc_id, tf) over all blocks; a review delivered in several blocks counts by its largest tf of a term."""
-    return spark.read.parquet(folder).groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
+    """(term, doc_id, tf) over all blocks; of a review delivered in several blocks, the delivery received last counts, of
+    equal ones that of the later block."""
+    rows = spark.read.parquet(folder)
+    last = rows.groupBy("doc_id").agg(F.max(F.struct("received_at", "block_id")).alias("__last"))
+    kept = rows.join(last, "doc_id").where((F.col("block_id") == F.col("__last.block_id")) & F.col("term").isNotNull())
+    return kept.select("term", "doc_id", "tf")

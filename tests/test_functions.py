@@ -79,10 +79,9 @@ def test_codecs_round_trip(numbers):
 
 
 def test_group_varint_bytes():
-    assert codecs.group_varint_encode([10, 990, 99000, 1]) == bytes([0b00011000, 10, 3, 222, 1, 130, 184, 1])
-    assert codecs.group_varint_encode([10, 990]) == bytes([0b00010000, 10, 3, 222, 0, 0])
-    huge = codecs.group_varint_encode([2147483647, 2011185518, 16777216, 176414542])
-    assert len(huge) == 17 and huge[0] == 255
+    assert codecs.group_varint_encode([7, 513, 70000, 255]) == bytes([0b00011000, 7, 2, 1, 1, 17, 112, 255])
+    assert codecs.group_varint_encode([300]) == bytes([0b01000000, 1, 44, 0, 0, 0])
+    assert codecs.group_varint_encode([2**32 - 1] * 4) == bytes([255] * 17)
     assert codecs.group_varint_encode([]) == b""
 
 
@@ -94,8 +93,8 @@ def test_sizes_match_the_bytes(spark):
 
 
 def test_front_coding():
-    joined, marks = codecs.front_encode(["jezebel", "jezer", "jezerit", "jeziah", "jeziel"])
-    assert joined == "jezebelritiahjeziel" and [m[1] for m in marks] == [0, 4, 5, 3, 0]
+    joined, marks = codecs.front_encode(["lamp", "lampshade", "lantern", "latch", "late"])
+    assert joined == "lampshadenterntchlate" and [m[1] for m in marks] == [0, 4, 2, 2, 0]
 
 
 @given(st.lists(st.text("ab", max_size=6)))

@@ -45,7 +45,8 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, wanted_tokens, available_tokens, copies, reachable), a row for each target.
+    """(source, target_share, max_repeats, wanted_tokens, available_tokens, num_documents, copies, reachable), a row for each
+    target; num_documents: those with tokens.
 
     sized: source, num_tokens. The mix is as large as all of sized. copies: expected times of each document, at most
     max_repeats. reachable: whether max_repeats times the source suffice; never for a source without tokens unless its
@@ -53,11 +54,11 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """
     total = sized.agg(F.coalesce(F.sum("num_tokens"), F.lit(0))).scalar()
     goals = targets.where("source is not null").groupBy(source_key(F.col("source")).alias("source")).agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(0)).alias("r"))).alias("g"))
-    owned = sized.groupBy("source").agg(F.sum("num_tokens").alias("available"))
+    owned = sized.groupBy("source").agg(F.sum("num_tokens").alias("available"), F.count_if(F.col("num_tokens") > 0).alias("documents"))
     joined = goals.join(owned, "source", "left")
     wanted, available = F.col("g.s") * total, F.coalesce("available", F.lit(0))
     copies = F.when(available > 0, F.least(F.col("g.r").cast("double"), wanted / available)).otherwise(0.0)
-    return joined.select("source", F.col("g.s").alias("target_share"), F.col("g.r").alias("max_repeats"), wanted.alias("wanted_tokens"), available.alias("available_tokens"), copies.alias("copies"), (available * F.col("g.r") >= wanted).alias("reachable"))
+    return joined.select("source", F.col("g.s").alias("target_share"), F.col("g.r").alias("max_repeats"), wanted.alias("wanted_tokens"), available.alias("available_tokens"), F.coalesce("documents", F.lit(0)).alias("num_documents"), copies.alias("copies"), (available * F.col("g.r") >= wanted).alias("reachable"))
 
 
 def sample_mix(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
@@ -76,17 +77,20 @@ def sample_mix(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """(sample_mix(), report). report: plan_mix() with mixed_tokens and two shares reached: of the size aimed at, and of
-    the mix as it came out."""
+    """(sample_mix(), report). report: plan_mix() with mixed_tokens, num_copies, two shares reached, of the size aimed at and of
+    the mix as it came out, and exhausted: the sample holds every document of the source max_repeats times and still falls
+    short of the tokens wanted."""
     sized = cut(token_counts(documents, tokenizer))
     plan = cut(plan_mix(sized, targets))
     sampled = sample_mix(sized, plan, seed)
-    mixed = sampled.groupBy("source").agg(F.sum(F.col("num_tokens") * F.col("times")).alias("mixed_tokens"))
+    mixed = sampled.groupBy("source").agg(F.sum(F.col("num_tokens") * F.col("times")).alias("mixed_tokens"), F.sum("times").alias("num_copies"))
     mixed = cut(mixed)
     total = mixed.agg(F.sum("mixed_tokens")).scalar()
     aim = sized.agg(F.sum("num_tokens")).scalar()
     tokens = F.coalesce("mixed_tokens", F.lit(0))
-    report = plan.join(mixed, "source", "left").select(*plan.columns, tokens.alias("mixed_tokens"), F.coalesce(F.try_divide(tokens, aim), F.lit(0.0)).alias("share_of_aim"), F.coalesce(F.try_divide(tokens, total), F.lit(0.0)).alias("share_of_mix"))
+    taken = F.coalesce("num_copies", F.lit(0))
+    exhausted = (taken == F.col("num_documents") * F.col("max_repeats")) & (tokens < F.col("wanted_tokens"))
+    report = plan.join(mixed, "source", "left").select(*plan.columns, tokens.alias("mixed_tokens"), taken.alias("num_copies"), exhausted.alias("exhausted"), F.coalesce(F.try_divide(tokens, aim), F.lit(0.0)).alias("share_of_aim"), F.coalesce(F.try_divide(tokens, total), F.lit(0.0)).alias("share_of_mix"))
     return sampled, report
 
 

@@ -5,8 +5,8 @@ are sorted in descending order there, and one pass with a stack adds up the coun
 
 The record set of a prefix is kept as a number: of the suffixes of one record that share a prefix, only the first counts
 it, so the numbers of records add up like the numbers of occurrences, and equal suffixes shrink to one row before the
-shuffle however frequent their first term is. With max_terms above 1 the suffixes of one first term are spread over
-SPREAD partitions by their second term, and a last sum joins the counts of single terms.
+shuffle however frequent their first term is. With max_terms above 1 the suffixes of one first term are spread by their
+second term over as many partitions as the shuffle has, and a last sum joins the counts of single terms.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from harrow.sources.tables import distinct_reviews
 
-SPREAD = 16
 #: Rows of partial counts that a task holds before it hands them on.
 HELD_ROWS = 400_000
 
@@ -145,8 +144,9 @@ def ngram_counts(texts: DataFrame, max_terms: int = 1) -> DataFrame:
     routed = partial.withColumn("__first", F.substring_index("suffix", " ", 1))
     keys = ["__first"]
     if max_terms > 1:
+        spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         second = F.when(F.instr("suffix", " ") > 0, F.split_part("suffix", F.lit(" "), F.lit(2)))
-        routed = routed.withColumn("__spread", F.coalesce(F.pmod(F.xxhash64(second), F.lit(SPREAD)), F.lit(0)))
+        routed = routed.withColumn("__spread", F.coalesce(F.pmod(F.xxhash64(second), F.lit(spread)), F.lit(0)))
         keys.append("__spread")
     ordered = routed.repartition(*keys).sortWithinPartitions(F.desc("suffix")).select("suffix", "occurrences", *counted)
     grams = ordered.mapInArrow(_stack_pass(max_terms), "ngram string, num_terms int, df long, cf long")

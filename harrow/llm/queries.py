@@ -12,33 +12,42 @@ from harrow.sources.tables import distinct_reviews, read
 llm = Registry()
 
 
+#: Terms of the suffixes that the token counts of p1_found and p1_terms come from.
+SUFFIX_TERMS = 2
+
+
+def _marked_terms(spark, folder):
+    """(term, df, cf, mark) of single tokens, the prefixes of length one of sorted suffixes."""
+    counts = cut(ngrams.review_ngrams(read(spark, folder, "reviews"), SUFFIX_TERMS).where("num_terms < 2"))
+    return ngrams.marked(counts).select(F.col("ngram").alias("term"), "df", "cf", "mark")
+
+
 @llm.query("p1_found", sql.P1_FOUND)
 def p1_found(spark, folder):
-    counts = cut(ngrams.review_ngrams(read(spark, folder, "reviews")))
-    return ngrams.marked(counts).where("mark is not null").select(F.col("ngram").alias("term"), "mark")
+    return _marked_terms(spark, folder).where("mark is not null").select("term", "mark")
 
 
 @llm.query("p1_terms", sql.P1_TERMS)
 def p1_terms(spark, folder):
-    counts = cut(ngrams.review_ngrams(read(spark, folder, "reviews")))
-    return ngrams.marked(counts).select(F.col("ngram").alias("term"), "df", "cf", "mark")
+    return _marked_terms(spark, folder)
 
 
 @llm.query("p1_ngrams", sql.P1_NGRAMS)
 def p1_ngrams(spark, folder):
-    """Runs of up to three terms that occur in 5 reviews or more, as its SQL; p1_ngrams_all has every run."""
-    return ngrams.review_ngrams(read(spark, folder, "reviews"), 3).where("num_terms > 0 and df >= 5")
-
-
-@llm.query("p1_ngrams_all", sql.P1_NGRAMS_ALL)
-def p1_ngrams_all(spark, folder):
     """Every run of up to three terms, the rare and the common ones marked."""
     return ngrams.marked(cut(ngrams.review_ngrams(read(spark, folder, "reviews"), 3)))
 
 
 @llm.query("p2_found", sql.P2_FOUND)
 def p2_found(spark, folder):
-    return weights.term_weights(distinct_reviews(read(spark, folder, "reviews"), ["text"]), best=True).select("doc_id", "term")
+    return weights.term_weights(distinct_reviews(read(spark, folder, "reviews"), ["text"]), best="weight").select("doc_id", "term")
+
+
+@llm.query("p2_distinctive", sql.P2_DISTINCTIVE)
+def p2_distinctive(spark, folder):
+    """The term of each review with the largest divergence."""
+    heaviest = weights.term_weights(distinct_reviews(read(spark, folder, "reviews"), ["text"]), best="kl")
+    return heaviest.select("doc_id", "term", F.round("kl", 6).alias("kl"))
 
 
 @llm.query("p2_term_weights", sql.P2_WEIGHTS)
@@ -92,7 +101,7 @@ def p8_passages(spark, folder):
 @llm.query("p9_found", sql.P9_FOUND)
 def p9_found(spark, folder):
     _, report = mixing.mix(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
-    return report.where(~F.col("reachable")).select("source")
+    return report.where("exhausted").select("source")
 
 
 @llm.query("p9_report")

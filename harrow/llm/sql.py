@@ -11,9 +11,6 @@ _MARK = "CASE WHEN df < 3 THEN 'rare' WHEN df > 0.2 * n THEN 'common' END AS mar
 P1_TERMS = f"WITH {_REVIEWS} SELECT term, df, cf, {_MARK} FROM di, nn"
 P1_FOUND = f"SELECT term, mark FROM (WITH {_REVIEWS} SELECT term, {_MARK} FROM di, nn) WHERE mark IS NOT NULL"
 P1_NGRAMS = f"""WITH {_REVIEWS},
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(terms) - w + 2), lambda i: array_to_string(terms[i:i + w - 1], ' '))) AS ngram, w AS num_terms FROM tk, (VALUES (1), (2), (3)) v(w) WHERE len(terms) >= w)
-SELECT ngram, num_terms::INTEGER AS num_terms, count(DISTINCT doc_id) AS df, count(*) AS cf FROM g GROUP BY ngram, num_terms HAVING count(DISTINCT doc_id) >= 5"""
-P1_NGRAMS_ALL = f"""WITH {_REVIEWS},
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(terms) - w + 2), lambda i: array_to_string(terms[i:i + w - 1], ' '))) AS ngram, w AS num_terms FROM tk, (VALUES (1), (2), (3)) v(w) WHERE len(terms) >= w),
 c AS (SELECT ngram, num_terms::INTEGER AS num_terms, count(DISTINCT doc_id) AS df, count(*) AS cf FROM g GROUP BY ngram, num_terms)
 SELECT ngram, num_terms, df, cf, {_MARK} FROM c, nn"""
@@ -22,6 +19,7 @@ SELECT doc_id, term FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER
 P2_WEIGHTS = f"""WITH {_REVIEWS}, l AS (SELECT doc_id, sum(tf) AS len FROM po GROUP BY doc_id), t AS (SELECT sum(cf)::DOUBLE AS total FROM di),
 s AS (SELECT doc_id, term, tf, df, cf, (tf + 100.0::DOUBLE * cf / total) / (len + 100.0::DOUBLE) AS p, cf / total AS b, (1 + log10(tf)) * log10(n::DOUBLE / df) AS weight FROM po JOIN di USING (term) JOIN l USING (doc_id), t, nn WHERE df >= 2)
 SELECT doc_id, term, tf, df, cf, round(p * log2(p / b), 6) AS kl, round(weight, 6) AS weight FROM s"""
+P2_DISTINCTIVE = P2_WEIGHTS.rsplit("SELECT", 1)[0] + "SELECT doc_id, term, round(p * log2(p / b), 6) AS kl FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(p * log2(p / b), 12) DESC, term) = 1"
 _FUSED = """c AS (SELECT DISTINCT query_id, doc_id, vsm_score, lm_score FROM candidates),
 rv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY received_at DESC) AS nth FROM reviews) WHERE nth = 1),
 m AS (SELECT query_id, doc_id, vsm_score, lm_score, score::DOUBLE AS score, helpfulness_num::DOUBLE AS votes,

@@ -3,6 +3,10 @@
 kl: the term's part of the relative entropy between the record's distribution, smoothed with mu tokens of the
 collection (Dirichlet), and the collection's; in bits. weight: (1 + log10 tf) * log10(N / df), as the searches use it.
 Terms in fewer than min_df records are left out.
+
+The heaviest term by weight is looked for among those that the divergence leaves: kl over the record's probability gives
+the collection's, hence cf, and df lies between cf / s and cf, s being the largest cf / df of any term. So each term's
+weight has bounds; terms whose upper bound is below another's lower one are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ LEXICON_BYTES = 24_000_000
 WEIGHTS = "doc_id long, term string, tf long, df long, cf long, kl double, weight double"
 
 
-def _weigh(lexicon, records: int, total: int, mu: float, best: bool):
+def _weigh(lexicon, records: int, total: int, mu: float, best: str):
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -32,6 +36,7 @@ def _weigh(lexicon, records: int, total: int, mu: float, best: bool):
         known = pa.ipc.open_stream(lexicon.value).read_all().combine_chunks()
         all_terms = known["term"].combine_chunks().cast(pa.large_string())
         all_df, all_cf = known["df"].to_numpy(), known["cf"].to_numpy()
+        most = float((all_cf / all_df).max()) if len(all_df) else 1.0
         for batch in batches:
             terms, codes, rows = coded(batch.column("text"))
             length = np.bincount(rows, minlength=batch.num_rows)
@@ -45,9 +50,17 @@ def _weigh(lexicon, records: int, total: int, mu: float, best: bool):
             background = cf / total
             smoothed = (tf + mu * background) / (length[row] + mu)
             kl = smoothed * np.log2(smoothed / background)
+            if best == "weight" and len(row):
+                # log10 of records / cf, from the divergence; the margin covers rounding.
+                rarity = np.log10(records / total) - np.log10(smoothed) + kl / smoothed * np.log10(2)
+                low, high = ((1 + np.log10(tf)) * (rarity + more) for more in (0.0, np.log10(most)))
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                floor = np.repeat(np.maximum.reduceat(low, first), np.diff(np.append(first, len(row))))
+                left = high >= floor - 1e-6
+                row, place, tf, df, cf, kl = (x[left] for x in (row, place, tf, df, cf, kl))
             weight = np.round((1 + np.log10(tf)) * np.log10(records / df), 12)
             if best:
-                order = np.lexsort((place, -weight, row))
+                order = np.lexsort((place, -(weight if best == "weight" else np.round(kl, 12)), row))
                 keep = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
                 row, place, tf, df, cf, kl, weight = (x[keep] for x in (row, place, tf, df, cf, kl, weight))
             ids = batch.column("doc_id").take(pa.array(row))
@@ -70,8 +83,8 @@ def _joined(texts: DataFrame, lexicon: DataFrame, records: int, total: int, mu:
     return met.select("doc_id", "term", "tf", "df", "cf", (smoothed * F.log2(smoothed / F.col("__b"))).alias("kl"), weight.alias("weight"))
 
 
-def term_weights(texts: DataFrame, mu: float = 100.0, min_df: int = 2, best: bool = False, lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
-    """(doc_id, term, tf, df, cf, kl, weight) of every record's terms; best=True: of its heaviest term by weight only.
+def term_weights(texts: DataFrame, mu: float = 100.0, min_df: int = 2, best: str = "", lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+    """(doc_id, term, tf, df, cf, kl, weight) of every record's terms; best: weight or kl, of its term with the largest only.
 
     texts: doc_id (each once) and text; other columns are ignored. Among equal weights (to 12 decimals) the term first
     in byte order is the heaviest. Records without a term in the lexicon, null texts included, give no row; so does an
@@ -88,7 +101,7 @@ def term_weights(texts: DataFrame, mu: float = 100.0, min_df: int = 2, best: boo
     if size > lexicon_bytes:
         weighed = _joined(rows, lexicon, records, total, mu)
         if best:
-            top = F.min(F.struct((-F.col("weight")).alias("a"), "term", "tf", "df", "cf", "kl", "weight")).alias("b")
+            top = F.min(F.struct((-F.round(best, 12)).alias("a"), "term", "tf", "df", "cf", "kl", "weight")).alias("b")
             weighed = weighed.groupBy("doc_id").agg(top).select("doc_id", *(f"b.{c}" for c in ("term", "tf", "df", "cf", "kl", "weight")))
         return weighed
 

@@ -89,7 +89,7 @@ def test_weights_match_brute_force(spark, limit):
     for r in found:
         assert (r.tf, r.df, r.cf) == wanted[r.doc_id, r.term][:3]
         assert abs(r.kl - wanted[r.doc_id, r.term][3]) < 1e-9 and abs(r.weight - wanted[r.doc_id, r.term][4]) < 1e-9
-    best = {r.doc_id: r.term for r in weights.term_weights(df, best=True, lexicon_bytes=limit).collect()}
+    best = {r.doc_id: r.term for r in weights.term_weights(df, best="weight", lexicon_bytes=limit).collect()}
     for d in {d for d, _ in wanted}:
         assert best[d] == min((-round(w[4], 12), t) for (e, t), w in wanted.items() if e == d)[1]
     assert weights.term_weights(df.limit(0), lexicon_bytes=limit).count() == 0

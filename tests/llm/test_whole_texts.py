@@ -107,4 +107,4 @@ def test_rare_runs_are_marked_and_not_left_out(spark, make_reviews, tmp_path):
     for gram, n in {(g, n) for _, g, n in runs}:
         df, cf = len({d for d, g, _ in runs if g == gram}), sum(g == gram for _, g, _ in runs)
         wanted.add((gram, n, df, cf, "rare" if df < 3 else "common" if df > 0.2 * len(docs) else None))
-    assert {tuple(r) for r in entry.queries()["p1_ngrams_all"](spark, str(tmp_path)).collect()} == wanted
+    assert {tuple(r) for r in entry.queries()["p1_ngrams"](spark, str(tmp_path)).collect()} == wanted

@@ -302,7 +302,6 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
             index = ItemIndex(*sent.value).build()
             width = index.items.width
             least = [least_shingles(len(w)) for w in index.items.words]
-            sizes = np.array([len(w) for w in index.items.words], np.int64)
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
@@ -321,15 +320,17 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
                         item = index.owners[np.arange(counts.sum()) - np.repeat(ends - counts, counts) + np.repeat(index.first[right], counts)]
                         places = np.repeat(places, counts)
                         pair = owner[places] * len(index.items.ids) + item
-                        found.append(np.unique(np.stack([pair, places // (4 * sizes[item]), places]), axis=1))
-                    hits = np.unique(np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1), axis=1)
-                    begins = np.flatnonzero(np.diff(hits[0], prepend=-1))
+                        found.append(pair * len(codes) + places)
+                    hits = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))  # by document, item and place
+                    pairs = hits // max(1, len(codes))
+                    begins = np.flatnonzero(np.diff(pairs, prepend=-1))
+                    ends = np.append(begins[1:], len(hits))[: len(begins)]
                     edges = np.searchsorted(owner, np.arange(part.num_rows))
                     edges = np.append(edges, len(codes))
                     cut: dict[int, np.ndarray] = {}
-                    for first, last in zip(begins.tolist(), [*begins[1:].tolist(), hits.shape[1]], strict=True):
-                        document, item = divmod(int(hits[0, first]), len(index.items.ids))
-                        begin, near = edges[document], hits[2, first:last]
+                    for first, last in zip(begins.tolist(), ends.tolist(), strict=True):
+                        document, item = divmod(int(pairs[first]), len(index.items.ids))
+                        begin, near = edges[document], hits[first:last] % len(codes)
                         own = known[codes[begin : edges[document + 1]]]
                         if document not in cut:
                             cut = {document: np.unique(shingles(own))}

@@ -63,6 +63,12 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, size[group]
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order; sorting beats hashing for so many."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Connecting words and known words, without regard to their language."""
@@ -117,17 +123,17 @@ def split(texts: pa.Array) -> Words:
     return Words(encoded.dictionary, code, row_of_byte[start], kind[start] == _MARK, length, start, data, row_of_byte, np.maximum(0, 1 - kept / whole), rows)
 
 
-def surface(w: Words) -> dict[str, np.ndarray]:
-    """SURFACE of each page: parts of its words (of its bytes for links)."""
+def surface(w: Words, repeated: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """SURFACE of each page: parts of its words (of its bytes for links). repeated: words that begin a repeated triple,
+    where they are known; else repeated_triples is 0."""
     count = np.maximum(1, np.bincount(w.row[~w.is_link], minlength=w.rows))
     per_row = lambda mask: np.bincount(w.row_of_byte[mask], minlength=w.rows).astype(float)
-    _, third, triple_count = _triples(w)
     width = len(w.strings) + 1
     keys, often = np.unique(w.row[~w.is_link] * width + w.code[~w.is_link], return_counts=True)
     commonest = np.zeros(w.rows)
     np.maximum.at(commonest, keys // width, often)
     return {
-        "repeated_triples": np.bincount(w.row, third & (triple_count > 1), w.rows) / count, "links": w.link_bytes,
+        "repeated_triples": np.zeros(w.rows) if repeated is None else np.bincount(w.row, repeated, w.rows) / count, "links": w.link_bytes,
         "tags": per_row(w.data == 35) / count, "separators": per_row(_IS_SEPARATOR[w.data]) / count,
         "commonest": np.where(count > 7, commonest / count, 0.0),
     }
@@ -181,7 +187,7 @@ def features(texts: pa.Array, lexicon: Lexicon | None = None) -> dict[str, np.nd
     by_row = lambda index, values: np.bincount(index, values, rows)
     count = np.maximum(1, by_row(row, ~is_link))
     # Each word once, so that a name strung along does not make a page one of an unknown language.
-    kinds = np.unique((row * width + code)[~is_link])
+    kinds = _distinct((row * width + code)[~is_link])
     code_known = np.zeros(width, bool)
     code_known[code[is_known]] = True
     known = by_row(kinds // width, code_known[kinds % width]) / np.maximum(1, by_row(kinds // width, None))
@@ -214,10 +220,10 @@ def features(texts: pa.Array, lexicon: Lexicon | None = None) -> dict[str, np.nd
     loose |= modelled & (total(is_function) < 0.15 * (size - links))
     weight = total(np.where(is_link, LINK_LETTERS, w.length))
     seen = np.maximum(1, by_row(piece_row, weight))
-    piece_kinds = np.unique(piece * width + code) // width
+    piece_kinds = _distinct(piece * width + code) // width
     per_row = lambda mask: np.bincount(w.row_of_byte[mask], minlength=rows).astype(float)
     units = np.maximum(1, np.bincount(row[first], minlength=rows))
-    out |= surface(w) | {
+    out |= surface(w, third & (triple_count > 1)) | {
         "loose": by_row(piece_row, weight * loose) / seen, "connecting": by_row(row, is_function) / count, "piece_distinct": by_row(piece_row[piece_kinds], None) / np.maximum(1, by_row(row, None)),
         "sentence_ends": per_row((kind == _END) & (w.data > 10)) / count,
         "short_units": by_row(row[first], unit_size < 4) / units, "unit_words": np.minimum(30, count / units), "known": known,

@@ -36,10 +36,11 @@ def of_last_delivery(found: DataFrame, reviews: DataFrame) -> DataFrame:
     """
     times = reviews.where("doc_id is not null").groupBy("doc_id").agg(F.max("received_at").alias("__last"), F.count("*").alias("__n"))
     repeated = times.where("__n > 1").select("doc_id", "__last")
-    kept = found.where("doc_id is not null").join(repeated, "doc_id", "left").where("__last is null or received_at = __last")
     columns = [c for c in found.columns if c not in ("doc_id", "received_at")]
-    best = F.max(F.struct(F.lit(1), *columns)).alias("__best")
-    return kept.groupBy("doc_id").agg(best).select("doc_id", *(F.col("__best")[c].alias(c) for c in columns))
+    # One finding for each doc_id before the join, so a review delivered very often fills no task.
+    best = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("received_at", *columns)).alias("__best"))
+    kept = best.join(repeated, "doc_id", "left").where(F.col("__last").isNull() | (F.col("__best.received_at") == F.col("__last")))
+    return kept.select("doc_id", *(F.col("__best")[c].alias(c) for c in columns))
 
 
 def canonical_reviews(reviews: DataFrame, with_text: bool = True) -> DataFrame:

@@ -26,6 +26,8 @@ LABELS = ("TEXT", "MARK", "ENTITY", "INLINE", "TITLE", "ITEM", "CODE", "FORMULA"
 BUCKETS = 1 << 12
 #: Attributes that stand without a value. Other bare words after a name are prose between two signs.
 _BARE = "checked|disabled|hidden|selected|readonly|required|multiple|async|defer|controls|loop|muted|autoplay|nowrap|noshade|compact|open|ismap|novalidate|autofocus"
+#: An attribute with its value.
+_VALUED = r"[A-Za-z_:@][\w:.@-]*\s*=\s*(?:\"[^\"<>\n]*\"|'[^'<>\n]*'|[^\s<>\"'|]+)"
 _PIECES = (
     ("fence", r"(?m:^[ \t]*(?:```|~~~)[^\n`]*$)"),
     ("comment", r"<!--.*?(?:-->|$)|<!\[CDATA\[|<![A-Za-z][^>]*>|<\?[a-z][^>]*\?>"),
@@ -51,12 +53,12 @@ _PIECES = (
     ("wiki_heading", r"(?m:^[ \t]*(={2,6})[^=\n]+\1[ \t]*$)"),
     ("marker", r"(?m:^[ \t]*(?:[-*+]|[0-9]{1,3}[.)])[ \t]+(?=\S))"),
     ("quote", r"(?m:^[ \t]*>+[ \t]?(?=\S))"),
-    ("table_mark", r"(?m:^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n|]*)$)|\{\||\|\}"),
+    ("table_mark", rf"(?m:^[ \t]*(?:(?:\{{\||\|-+)(?:[ \t]*{_VALUED})*|\|\}})[ \t]*$)"),
     ("row", r"(?m:^[ \t]*\|[^\n]*\|[ \t]*$)"),
     ("cell", r"(?m:^[ \t]*[|!][ \t+]*(?=\S))"),
     ("rule", r"(?m:^[ \t]*(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$)"),
     ("slant", r"(?<![\w*])\*[^\s*][^*\n]*[^\s*]\*(?![\w*])|(?<![\w_])_[^\s_][^_\n]*[^\s_]_(?![\w_])"),
-    ("sign", r"[<>&*_#`\[\]{}\\|~=$^]+"),
+    ("sign", r"[<>&*_#`\[\]{}\\|~=^]+"),
 )
 #: The backreference of wiki_heading is by name, as the pieces share one pattern.
 #: A page without any of this holds no piece: signs that every piece but a few needs, and the others' line starts and quotes.

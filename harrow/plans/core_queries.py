@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import codecs, text
 from harrow.operators import encoding, index, lookup, ordering, rank, scenario, skew
-from harrow.plans.build import build_from_table, review_index
+from harrow.plans.build import build_from_file, build_from_table, review_index
 from harrow.plans.durable import shared_folder
 from harrow.plans.registry import Registry
 from harrow.sources import build_log, records, review_text
@@ -521,6 +521,20 @@ def build_log_summary(spark, folder):
     return build_log.summary(*_build_log(spark, folder))
 
 
+@core.query("file_index_dictionary", f"WITH {POSTINGS_SQL} SELECT term, df, cf FROM di")
+def file_index_dictionary(spark, folder):
+    """The dictionary of an index built from the reviews as a text file, in the shared folder."""
+    path = f"{shared_folder(spark)}/file-{uuid.uuid4().hex}"
+    review_text.to_records(_reviews(spark, folder)).select("value").write.text(f"{path}/in")
+    return build_from_file(spark, f"{path}/in", f"{path}/index").dictionary.select("term", "df", "cf")
+
+
+@core.query("postings_by_term_number", f"WITH {POSTINGS_SQL}, n AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_index FROM di) SELECT term_index, doc_id, tf FROM po JOIN n USING (term)")
+def postings_by_term_number(spark, folder):
+    opened = review_index(spark, folder)
+    return opened.postings.join(opened.dictionary.select("term", "term_index"), "term").select("term_index", "doc_id", "tf")
+
+
 @core.query("postings_check", "SELECT term, doc_id, 'repeated' AS fault FROM (SELECT term, doc_id FROM postings GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT term, doc_id, CASE WHEN coalesce(term, '') = '' THEN 'term' WHEN coalesce(doc_id, 0) < 1 THEN 'doc_id' ELSE 'tf' END FROM postings WHERE coalesce(term, '') = '' OR coalesce(doc_id, 0) < 1 OR coalesce(tf, 0) < 1")
 def postings_check(spark, folder):
     return index.check_postings(read(spark, folder, "postings"))

@@ -38,7 +38,8 @@ def parse_records(records: DataFrame, keep: list[str] | None = None) -> DataFram
     key = KEYS["product_id"]
     value = F.col("value")
     whole = F.when(F.trim(value).startswith(f"{key}:"), value).otherwise(F.concat(F.lit(f"{key}: "), value))
-    field = {n: F.regexp_extract(F.col("__whole"), f"(?m)^{k}: (.*)$", 1) for n, k in KEYS.items()}
+    # Only \n ends a line: bytes of UTF-8 read as ISO-8859-1 give signs that Java takes for line ends too.
+    field = {n: F.regexp_extract(F.col("__whole"), rf"(?dm)^{k}: ([^\r\n]*)", 1) for n, k in KEYS.items()}
     return records.where(F.trim(value) != "").select(*(keep or []), whole.alias("__whole")).select(*(keep or []), *_typed(field))
 
 

@@ -270,9 +270,10 @@ def lost_blanks(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in re.finditer("[\u00c3\u00c2] (?P<more> ?)", text):
         before = text[m.start() - 1 : m.start()]
+        word = re.search(r"\w*$", text[max(0, m.start() - 40) : m.start()])[0]
         single = not before or before.isspace() or before in "(\"'"
         grave = m[0][0] == "\u00c3"
-        if before.islower() or (single and (m["more"] or text[m.end() : m.end() + 1].islower() or not grave)) or (not grave and before and not before.isalpha()):
+        if (word.isalpha() and word[1:].islower() and before.islower()) or (len(word) == 1 and word.islower()) or (single and (m["more"] or text[m.end() : m.end() + 1].islower() or not grave)) or (not grave and before and not before.isalpha()):
             out.append((m.start(), m.end(), ("\u00e0 " if grave else " ")))
     return out
 

@@ -170,8 +170,8 @@ def features(texts: pa.Array, lexicon: Lexicon | None = None) -> dict[str, np.nd
 
     Text is cut into units at line ends and sentence ends, longer units into pieces of PIECE words. A piece is loose if
     an eighth of it are links, a third of it are tags, separators come two for five words, one content word comes three
-    times and is an eighth of it, a third of its word pairs are content words that the page pairs four times or more, or
-    fewer than 15 % of its words are connecting words. In pages of too few known words, the last rule abstains, pairs must
+    times and is an eighth of it, a third of its word pairs are content words that the page pairs four times or more, three
+    short units in a row begin with the same two words, or fewer than 15 % of its words are connecting words. In pages of too few known words, the last rule abstains, pairs must
     come again in the same piece, and one word must come four times and be a quarter of it.
     """
     lexicon = lexicon or Lexicon([], [])
@@ -218,6 +218,10 @@ def features(texts: pa.Array, lexicon: Lexicon | None = None) -> dict[str, np.nd
     loose = (links > 0) & (links * 8 >= size) | (pieces_tags * 3 >= size) | ((size > 3) & (pieces_separators * 5 >= size * 2)) | ((size > 1) & (total(stuffed) * 3 >= size - 1))
     loose |= (top >= np.where(modelled, 3, 4)) & (top * np.where(modelled, 8, 4) >= size)
     loose |= modelled & (total(is_function) < 0.15 * (size - links))
+    # Short units one after the other with the same two words at their start.
+    opening = np.where((unit_size > 1) & (unit_size < 9), (row[first] * width + code[first]) * width + code[np.minimum(first + 1, len(code) - 1)], -1 - np.arange(len(first)))
+    series = np.cumsum(np.append(True, opening[1:] != opening[:-1])) - 1
+    loose |= (np.bincount(series)[series] > 2)[np.cumsum(fresh)[edges] - 1]
     weight = total(np.where(is_link, LINK_LETTERS, w.length))
     seen = np.maximum(1, by_row(piece_row, weight))
     piece_kinds = _distinct(piece * width + code) // width

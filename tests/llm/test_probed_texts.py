@@ -91,7 +91,7 @@ def test_what_cannot_be_told_is_found_and_not_complete(repairer, text):
     assert found and not whole and restored == text
 
 
-@pytest.mark.parametrize("text", ["cafÈ", "don’t say it’s fine’s", "‚Äpfel‘", "日本語の説明書", "茅台酒很好", "中文说明书很好用。", "MANHÃ e", "AMANHÃ  BOA", "L’école’é", "éèàç test", "Brand™s and other™s", "한국어 설명서", "ｶﾀｶﾅ"])
+@pytest.mark.parametrize("text", ["cafÈ", "don’t say it’s fine’s", "‚Äpfel‘", "日本語の説明書", "茅台酒很好", "中文说明书很好用。", "MANHÃ e", "AMANHÃ  BOA", "IRyÃ e mãe", "L’école’é", "éèàç test", "Brand™s and other™s", "한국어 설명서", "ｶﾀｶﾅ"])
 def test_correct_text_of_these_kinds_stays(repairer, text):
     assert repairer.repair(text) == ([], text, True)
 
@@ -156,7 +156,8 @@ def test_prose_of_languages_without_a_model_is_no_spam(spark, labelled):
         stuffed = " ".join(f"{rng.choice(['cheap', 'best', 'sale', 'price', 'online'])} {things[i % 8]}" for _ in range(40))
         rows.append((i, stuffed if i % 10 == 0 else " ".join(sentences), "en", rng.choice(["a", "b"])))
     rows += [(1000 + i, text, lang if i % 2 else None, "a") for i, (lang, text) in enumerate(PROSE.items())]
+    rows += [(3000, "\n".join(f"kettle repair in {x}ford" for x in ("Ulm", "Ost", "Bel", "Kar", "Lin", "Mor", "Nab", "Pol")), "en", "a")]
     rows += [(2000, "goedkope ketel kopen goedkope ketel online goedkope ketel aanbieding beste ketel prijs ketel kopen online ketel korting goedkope ketel winkel ketel kopen", "nl", None), (2001, None, None, None)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, known int, label int")
     found = {r.doc_id: r.spam for r in spam.classify(df if labelled else df.drop("lang")).collect()}
-    assert [d for d in found if found[d] != (d % 10 == 0 and d < 1000 or d == 2000)] == []
+    assert [d for d in found if found[d] != (d % 10 == 0 and d < 1000 or d in (2000, 3000))] == []

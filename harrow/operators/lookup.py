@@ -45,8 +45,10 @@ class IndexReader:
         return self.index.postings.where(F.col("term") == token.lower()).select("doc_id", "tf").orderBy("doc_id")
 
     def get_product_reviews(self, product_id: str) -> DataFrame:
-        """(doc_id), ascending."""
-        return self.index.reviews.where(F.col("product_id") == product_id.strip().upper()).select("doc_id").orderBy("doc_id")
+        """(doc_id), ascending. The product's first and last doc_id narrow the scan of the reviews, which are sorted by it."""
+        key = F.col("product_id") == product_id.strip().upper()
+        ends = self.index.products.where(key).select("min_doc_id", "max_doc_id").first()
+        return self.index.reviews.where(key & F.col("doc_id").between(*(ends or (0, -1)))).select("doc_id").orderBy("doc_id")
 
     def get_number_of_reviews(self) -> int:
         return self.index.stats.first()["num_reviews"]

@@ -605,3 +605,12 @@ def p7_exports(spark, folder):
     """The records of each src_file as one export text, parsed with recovery: (src_file, start, reason, position) and the
     values, see parse_exports()."""
     return records.parse_exports(read(spark, folder, "raw_records"))
+
+
+@core.query("p7_export_files")
+def p7_export_files(spark, folder):
+    """The same from files: one folder of text for each src_file is written and read again in pieces."""
+    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    raw = read(spark, folder, "raw_records").select(F.coalesce("src_file", F.lit("")).alias("src_file"), F.coalesce("raw", F.lit("")).alias("raw"))
+    raw.write.partitionBy("src_file").text(path)
+    return records.parse_export_files(spark, f"{path}/*")

@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 from decimal import Decimal
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.ordering import running_sum
@@ -206,8 +206,8 @@ def valid_and_failed(raw_records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_files(files: DataFrame) -> DataFrame:
     """rec_id (character position in the file), PARSED and path of whole files (path, content as text).
 
-    For exports whose records are not split yet. A file is parsed in one task, since a quote may reach over any line
-    break; exports come as many files, and parse_exports() takes those whose records are rows in pieces.
+    For small exports that are in a table. A file is parsed in one task, since a quote may reach over any line break;
+    parse_export_files() reads large ones in pieces, parse_exports() takes those whose records are rows.
     """
 
     def run(batches):
@@ -222,27 +222,57 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("string").alias("content")).mapInArrow(run, f"rec_id long, {PARSED}, path string")
 
 
-def parse_exports(raw_records: DataFrame, piece: int = 1_000_000) -> DataFrame:
-    """(src_file, start, PARSED) of the records of each src_file as one text, in order of rec_id and with a line break after
-    each, parsed with recovery; start and position count characters of that text.
+_PART = r'(?:"(?:[^"]|"")*"|[^",]*)'
+#: A line that is a whole record with votes and score in place: where a large file may be cut.
+WHOLE_LINE = rf'^{_PART},"?\s*[0-9]+/[0-9]+\s*"?,"?\s*[0-9]+(\.[0-9]+)?\s*"?,{_PART}\r?$'
 
-    raw_records: rec_id, src_file, raw (null counts as empty). The text is cut at record starts into pieces of about
-    `piece` characters, so a file with most rows is spread over many tasks; a broken quote ends with its piece at the
-    latest. Line breaks end plain fields here.
+
+def parse_export_files(spark: SparkSession, path: str, piece: int = 1_000_000) -> DataFrame:
+    """(path, start, PARSED) of the records of files of any size below a path; start and position count characters.
+
+    Files are read in splits and parsed in pieces of about `piece` characters, each of which begins at a line that is a
+    whole record by itself; the parser recovers within its piece. Only a file without such lines is one piece. A quoted
+    text that holds such a line where a piece would begin is cut there.
     """
-    rows = raw_records.select("src_file", "rec_id", F.coalesce("raw", F.lit("")).alias("raw"))
-    summed = running_sum(rows.withColumn("__size", F.length("raw") + 1), ["src_file"], [F.col("rec_id"), F.col("raw")], "__size", "__end")
-    placed = summed.withColumn("__start", F.col("__end") - F.col("__size")).withColumn("__piece", F.floor(F.col("__start") / piece))
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__line"))
+    summed = running_sum(lines.withColumn("__size", F.length("value") + 1), ["path"], [F.col("__split"), F.col("__line")], "__size", "__end")
+    placed = summed.select("path", "value", (F.col("__end") - F.col("__size")).alias("__start")).withColumn("__block", F.floor(F.col("__start") / piece))
+    anchor = F.min(F.when(F.col("value").rlike(WHOLE_LINE), F.col("__start"))).alias("__anchor")
+    blocks = placed.groupBy("path", "__block").agg(anchor)  # a row for each piece
+    before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.max(F.when(F.col("__anchor").isNotNull(), F.col("__block"))).over(before))
+    joined = placed.join(blocks, ["path", "__block"])
+    number = F.when(F.col("__start") >= F.col("__anchor"), F.col("__block")).otherwise(F.coalesce("__before", F.lit(-1)))
+    return _parse_pieces(joined.select("path", number.alias("__piece"), "__start", F.col("value").alias("raw")), "path")
+
+
+def _parse_pieces(placed: DataFrame, name: str) -> DataFrame:
+    """(name, start, PARSED) of lines (name, __piece, __start, raw), each piece of a file parsed with recovery."""
     lines = F.sort_array(F.collect_list(F.struct("__start", "raw")))
-    texts = placed.groupBy("src_file", "__piece").agg(F.min("__start").alias("__base"), F.array_join(F.transform(lines, lambda r: r["raw"]), "\n").alias("content"))
+    texts = placed.groupBy(name, "__piece").agg(F.min("__start").alias("__base"), F.array_join(F.transform(lines, lambda r: r["raw"]), "\n").alias("content"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for path, base, content in zip(*(batch.column(c).to_pylist() for c in ("src_file", "__base", "content")), strict=True):
+            for file, base, content in zip(*(batch.column(c).to_pylist() for c in (name, "__base", "content")), strict=True):
                 found = [replace(r, position=None if r.position is None else r.position + base) for r in RecordParser(content + "\n").file()]
                 parsed = _columns(found, [pa.array([r.start + base for r in found], pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *parsed.columns], ["src_file", "start", *parsed.schema.names[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), *parsed.columns], [name, "start", *parsed.schema.names[1:]])
+
+    return texts.select(name, "__base", "content").mapInArrow(run, f"{name} string, start long, {PARSED}")
 
-    return texts.select("src_file", "__base", "content").mapInArrow(run, f"src_file string, start long, {PARSED}")
+
+def parse_exports(raw_records: DataFrame, piece: int = 1_000_000) -> DataFrame:
+    """(src_file, start, PARSED) of the records of each src_file as one text, in order of rec_id and with a line break after
+    each, parsed with recovery; start and position count characters of that text.
+
+    raw_records: rec_id, src_file, raw (null counts as empty). The text is cut at record starts into pieces of about
+    `piece` characters, so a file with most rows is spread over many tasks; a broken quote ends with its piece at the
+    latest. Line breaks end plain fields here.
+    """
+    rows = raw_records.select("src_file", "rec_id", F.coalesce("raw", F.lit("")).alias("raw"))
+    summed = running_sum(rows.withColumn("__size", F.length("raw") + 1), ["src_file"], [F.col("rec_id"), F.col("raw")], "__size", "__end")
+    placed = summed.withColumn("__start", F.col("__end") - F.col("__size")).withColumn("__piece", F.floor(F.col("__start") / piece))
+    return _parse_pieces(placed, "src_file")

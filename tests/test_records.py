@@ -84,6 +84,26 @@ def test_exports_in_pieces_are_those_of_whole_files(spark):
     assert records.parse_exports(df.limit(0)).count() == 0
 
 
+def test_large_files_are_read_in_pieces(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    kinds = ["p{i},1/2,3,plain {i}", 'p{i},1/2,3,"two, ""x""\nlines {i}"', "p{i},3/2,3,x", 'p{i},1/2,"4,never closed', "p{i},1/2,9,x", "only, three,{i}", "p{i},1/2,3,caf\u00e9"]
+    whole = {}
+    for name in "ab":
+        picked = [rng.choice(kinds[:2] * 4 + kinds).format(i=i) for i in range(400)]
+        whole[name] = "\n".join(picked) + "\n"
+        (tmp_path / f"{name}.csv").write_text(whole[name])
+    (tmp_path / "c.csv").write_text("")
+    wanted = sorted((n, r.start, r.reason, r.position, r.text) for n, text in whole.items() for r in records.RecordParser(text).file())
+    read = lambda piece: sorted((r.path[-5], r.start, r.reason, r.position, r.text) for r in records.parse_export_files(spark, str(tmp_path), piece).collect())
+    assert read(1_000_000) == wanted
+    for piece in (2_000, 150):  # a broken quote ends with its piece, which can only save records
+        found = read(piece)
+        assert {r for r in wanted if r[2] is None} <= set(found) and len(found) >= len(wanted)
+        assert all(whole[n][at - 1 : at] in ("", "\n") for n, at, *_ in found)
+
+
 def brute_reason(raw):
     """The same rules read character by character."""
     import re

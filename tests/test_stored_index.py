@@ -39,6 +39,13 @@ def test_terms_have_their_numbers(opened):
     assert (reader.get_term(-1), reader.get_token_frequency_at(99), reader.get_token_collection_frequency_at(-5), reader.get_doc_ids_and_freqs(99).count()) == (None, 0, 0, 0)
 
 
+def test_product_reviews_are_sought_between_the_products_ends(opened):
+    reader = lookup.IndexReader(opened)
+    found = reader.get_product_reviews(" p2 ")
+    assert [r.doc_id for r in found.collect()] == [3, 5, 70000] and reader.get_product_reviews("none").count() == 0
+    assert "GreaterThanOrEqual(doc_id,3)" in found._jdf.queryExecution().toString()
+
+
 def test_lengths_lie_in_the_postings(opened):
     assert {(r.doc_id, r.num_tokens) for r in opened.postings.collect()} == {(1, 6), (2, 2), (3, 3), (70000, 5)}
     assert {r.doc_id: r.num_tokens for r in opened.reviews.collect()} == {1: 6, 2: 2, 3: 3, 4: 0, 5: 0, 70000: 5}

@@ -615,6 +615,8 @@ def residue(texts: DataFrame, pages: int = 600, seed: int = 11) -> DataFrame:
     return texts.select(*kept, "text").where(F.col("text").rlike(TRIGGER)).mapInArrow(run, schema)
 
 
-def review_residue(reviews: DataFrame) -> DataFrame:
-    """(doc_id, roles, cleaned) of the reviews whose last delivery has residue; every delivery is looked through."""
-    return of_last_delivery(residue(reviews.select("doc_id", "received_at", "text")), reviews)
+def review_residue(reviews: DataFrame, cleaned: bool = True) -> DataFrame:
+    """(doc_id, roles, cleaned) of the reviews whose last delivery has residue, or doc_id alone; every delivery is looked
+    through."""
+    found = residue(reviews.select("doc_id", "received_at", "text"))
+    return of_last_delivery(found if cleaned else found.select("doc_id", "received_at"), reviews)

@@ -489,6 +489,8 @@ def garbled(texts: DataFrame, model: ChainModel | None = None, sample_rows: int
     return foreign.mapInArrow(run, schema)
 
 
-def garbled_reviews(reviews: DataFrame) -> DataFrame:
-    """(doc_id, chain, restored, complete) of the reviews whose last delivery is garbled; every delivery is looked through."""
-    return of_last_delivery(garbled(reviews.select("doc_id", "received_at", "text")), reviews)
+def garbled_reviews(reviews: DataFrame, restored: bool = True) -> DataFrame:
+    """(doc_id, chain, restored, complete) of the reviews whose last delivery is garbled, or doc_id alone; every delivery is
+    looked through."""
+    found = garbled(reviews.select("doc_id", "received_at", "text"))
+    return of_last_delivery(found if restored else found.select("doc_id", "received_at"), reviews)

@@ -70,7 +70,7 @@ def p3_fused(spark, folder):
 
 @llm.query("p6_found")
 def p6_found(spark, folder):
-    return mojibake.garbled_reviews(read(spark, folder, "reviews")).select("doc_id")
+    return mojibake.garbled_reviews(read(spark, folder, "reviews"), restored=False)
 
 
 @llm.query("p6_restored")
@@ -80,7 +80,7 @@ def p6_restored(spark, folder):
 
 @llm.query("p4_found")
 def p4_found(spark, folder):
-    return markup.review_residue(read(spark, folder, "reviews")).select("doc_id")
+    return markup.review_residue(read(spark, folder, "reviews"), cleaned=False)
 
 
 @llm.query("p4_cleaned")

@@ -1,11 +1,14 @@
 """Cutting lineage so that lost executors cost no result: tables in the folder that all executors share.
 
 The folder is that of spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a temporary
-folder; on a cluster its lack is an error, as executors could not read what others wrote.
+folder, which goes when the process ends; on a cluster its lack is an error, as executors could not read what others
+wrote. A job on a cluster calls release() when it needs its tables no more.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="harrow-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         context.setCheckpointDir(base)
     return context.getCheckpointDir()
 

@@ -259,7 +259,7 @@ def item_groups(items: DataFrame, group_words: int) -> DataFrame:
     """
     import pyarrow as pa
 
-    from harrow.llm.batches import tokens
+    from harrow.functions.batches import tokens
 
     def run(batches):
         for batch in batches:
@@ -288,7 +288,7 @@ def leaked(documents: DataFrame, items: DataFrame, group_words: int = GROUP_WORD
     """
     import pyarrow as pa
 
-    from harrow.llm.batches import coded
+    from harrow.functions.batches import coded
 
     context, groups = documents.sparkSession.sparkContext, []
     grouped = item_groups(items, group_words)

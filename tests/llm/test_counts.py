@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow.llm import fusion, ngrams, weights
-from harrow.llm.batches import tokens
+from harrow.functions.batches import tokens
 
 
 def texts_of(spark, texts):

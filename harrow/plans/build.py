@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators.index import ReviewIndex, remove_index
 from harrow.operators.ordering import number_rows
-from harrow.plans.durable import cut, shared_folder
+from harrow.plans.durable import cut, drop, shared_folder
 from harrow.sources.review_text import parse_records, read_records
 from harrow.sources.tables import canonical_reviews, read
 
@@ -25,18 +25,25 @@ def number_records(records: DataFrame) -> DataFrame:
     return number_rows(placed.where(F.trim("value") != ""), [F.col("__file"), F.col("__split"), F.col("__line")], "doc_id").select("doc_id", "value")
 
 
+def _save(built: ReviewIndex, folder: str) -> None:
+    """Save an index and delete the unsorted postings that it was built on."""
+    built.save(folder)
+    drop(built.postings)
+
+
 def build_from_file(spark: SparkSession, path: str, folder: str) -> ReviewIndex:
     """Parse line-oriented review text, number the reviews, write the index and open it. Errors are raised."""
     parsed = parse_records(number_records(read_records(spark, path)), ["doc_id"])
     reviews = parsed.withColumn("product_id", F.when(F.col("product_id") != "", F.col("product_id")))
     reviews = cut(reviews)
-    ReviewIndex.build(reviews).save(folder)
+    _save(ReviewIndex.build(reviews), folder)
+    drop(reviews)
     return ReviewIndex.load(spark, folder)
 
 
 def build_from_table(reviews: DataFrame, folder: str) -> ReviewIndex:
     """The same from a table of reviews, whose doc_id stay."""
-    ReviewIndex.build(canonical_reviews(reviews), canonical_reviews(reviews, False)).save(folder)
+    _save(ReviewIndex.build(canonical_reviews(reviews), canonical_reviews(reviews, False)), folder)
     return ReviewIndex.load(reviews.sparkSession, folder)
 
 

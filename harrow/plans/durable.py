@@ -42,6 +42,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that cut() gave; what was planned on it cannot run any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in path:
+            remove(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application has cut; DataFrames built on it cannot run any more."""
     if spark.sparkContext.getCheckpointDir():

@@ -149,3 +149,8 @@ def test_cut_keeps_rows_and_types(spark):
     kept = durable.cut(df)
     assert kept.schema == df.schema and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
     assert durable.cut(df.limit(0)).count() == 0
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.exists(path)
+    durable.drop(kept)
+    durable.drop(df)
+    assert not os.path.exists(path)

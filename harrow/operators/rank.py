@@ -92,23 +92,22 @@ def term_doc_frequencies(query: DataFrame, postings: DataFrame) -> DataFrame:
 def language_model_scores(query: DataFrame, dictionary: DataFrame, postings: DataFrame, lengths: DataFrame | None, total_tokens: Column, mixture: float) -> DataFrame:
     """(query_id, doc_id, score): product over distinct terms of mixture * tf / length + (1 - mixture) * cf / T.
 
-    Only reviews with at least one of the terms; a term that no review has makes every score 0. The terms of a query
-    travel as one array, so reviews meet their query by an equality join and terms they lack cost no row. lengths:
-    (doc_id, num_tokens), or None where the postings have num_tokens, as those of an index do.
+    Only reviews with at least one of the terms; a term that no review has makes every score 0. Logarithms are summed, so
+    terms that a review lacks cost no row: a query's sum over the background of all its terms, and for each term of the
+    review what it adds to that. lengths: (doc_id, num_tokens), or None where the postings have num_tokens, as those of an
+    index do.
     """
     counted = query_counts(query).join(dictionary.select("term", "cf"), "term", "left")
-    entry = F.struct("raw_term", "term", (F.coalesce("cf", F.lit(0)) / total_tokens).alias("background"))
-    whole = counted.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("__terms"))
-    wanted = query_counts(query).select("query_id", "term").distinct()
-    length = [] if lengths is not None else [F.max("num_tokens").alias("num_tokens")]
-    hits = postings.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("__tf"), *length)
-    met = (hits if lengths is None else hits.join(lengths, "doc_id")).join(whole, "query_id")
-
-    def factor(product: Column, e: Column) -> Column:
-        own = F.coalesce(F.try_element_at(F.col("__tf"), e["term"]), F.lit(0)) / F.col("num_tokens")
-        return product * (mixture * own + (1 - mixture) * e["background"])
-
-    return met.select("query_id", "doc_id", F.aggregate("__terms", F.lit(1.0), factor).alias("score"))
+    counted = counted.withColumn("__base", (1 - mixture) * F.coalesce("cf", F.lit(0)) / total_tokens)
+    log_base = F.when(F.col("__base") > 0, F.log("__base")).otherwise(0.0)
+    whole = counted.groupBy("query_id").agg(F.sum(log_base).alias("__all"), F.count_if(F.col("__base") <= 0).alias("__needed"))
+    hits = postings if lengths is None else postings.join(lengths, "doc_id")
+    hits = hits.join(counted.select("query_id", "term", "__base"), "term")
+    own = mixture * F.col("tf") / F.col("num_tokens") + F.col("__base")
+    # Without background, a score is above 0 only if the review has every such term.
+    summed = hits.groupBy("query_id", "doc_id").agg(F.sum(F.log(own) - log_base).alias("__more"), F.count_if(F.col("__base") <= 0).alias("__met"))
+    score = F.when(F.col("__met") >= F.col("__needed"), F.exp(F.col("__all") + F.col("__more"))).otherwise(0.0)
+    return summed.join(whole, "query_id").select("query_id", "doc_id", score.alias("score"))
 
 
 def product_relevance(scores: DataFrame, reviews: DataFrame, products: DataFrame) -> DataFrame:

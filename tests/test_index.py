@@ -103,6 +103,9 @@ def test_rankings_match_a_plain_model(spark, tables, terms):
     assert {r.doc_id: round(r.score, 9) for r in scores.collect()} == {d: round(s, 9) for d, s in vsm.items()}
     found = rank.language_model_scores(query, words, posted, index.lengths(tables), F.lit(11), 0.5)
     assert {r.doc_id: round(r.score, 12) for r in found.collect()} == {d: round(s, 12) for d, s in lm.items()}
+    alone = rank.language_model_scores(query, words, posted, index.lengths(tables), F.lit(11), 1.0)
+    wanted = {d: math.prod(docs[d].count(t.lower()) / len(docs[d]) for t in set(terms)) for d in lm}
+    assert {r.doc_id: round(r.score, 12) for r in alone.collect()} == {d: round(s, 12) for d, s in wanted.items()}
     best = rank.top_k(scores, 2).orderBy("rank").collect()
     assert [r.doc_id for r in best] == sorted(vsm, key=lambda d: (-round(vsm[d], 12), d))[:2]
     assert rank.top_k(scores, 0).count() == 0

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions.text import helpfulness_weight, raw_tokens
+from harrow.operators import packing
 from harrow.operators.ordering import number_rows
-from harrow.plans.durable import cut, remove
+from harrow.plans.durable import cut, drop, remove
 
 TABLES = ("reviews", "postings", "dictionary", "products", "stats")
 
@@ -123,25 +124,29 @@ class ReviewIndex:
     def save(self, path: str) -> None:
         """Write all tables, replacing what is there. Each comes from the written ones before it.
 
-        Ranges on (term, doc_id) cut frequent terms into several files with narrow statistics, so a lookup reads few row
-        groups. Postings without term, doc_id or tf, which no index may hold, are an error; postings() and
-        merge_postings() never repeat a pair, other tables can be looked through by check_postings() before.
+        Ranges cut the postings by term, so a lookup reads few row groups; see packing.in_order(). Postings
+        without term, doc_id or tf, which no index may hold, are an error; postings() and merge_postings() never repeat a
+        pair, other tables can be looked through by check_postings() before.
         """
         spark = self.postings.sparkSession
 
-        def write(df: DataFrame, table: str, *order: str) -> DataFrame:
-            df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{table}")
+        def write(df: DataFrame, table: str) -> DataFrame:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{table}")
             return spark.read.schema(df.schema).parquet(f"{path}/{table}")
 
-        posted = write(self.postings, "postings", "term", "doc_id")
-        faulty = posted.where(_fault().isNotNull()).select("term", "doc_id", "tf").first()
+        def in_order(df: DataFrame, key: str) -> DataFrame:
+            return df.repartitionByRange(key).sortWithinPartitions(key)
+
+        faulty = self.postings.where(_fault().isNotNull()).select("term", "doc_id", "tf").first()
         if faulty is not None:
             raise ValueError(f"no index may hold the posting {tuple(faulty)}")
-        write(self.dictionary, "dictionary", "term")
-        reviews = write(self.reviews, "reviews", "doc_id")
-        write(products(reviews), "products", "product_id")
-        terms = spark.read.parquet(f"{path}/dictionary")
-        _stats_of(terms, reviews).write.mode("overwrite").parquet(f"{path}/stats")
+        runs = packing.packed(self.postings)
+        write(packing.in_order(runs), "postings")
+        drop(runs)
+        terms = write(in_order(self.dictionary, "term"), "dictionary")
+        reviews = write(in_order(self.reviews, "doc_id"), "reviews")
+        write(in_order(products(reviews), "product_id"), "products")
+        write(_stats_of(terms, reviews), "stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ReviewIndex:

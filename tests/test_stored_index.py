@@ -154,3 +154,23 @@ def test_cut_keeps_rows_and_types(spark):
     durable.drop(kept)
     durable.drop(df)
     assert not os.path.exists(path)
+
+
+def test_packed_postings_come_back_in_order(spark):
+    import random
+
+    from harrow.operators import packing
+
+    rng = random.Random(2)
+    rows = [(t, d, rng.choice([1, 3, 300, 2**33]), rng.choice([0, 9, 70000])) for t in ("a", "hot", "z\u00e9") for d in rng.sample(range(1, 2**40), 400 if t == "hot" else 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "term string, doc_id long, tf long, num_tokens long").repartition(5)
+    for held in (packing.HELD, 50):
+        found = packing.in_order(packing.packed(df, held), held).coalesce(1).collect()
+        assert sorted(map(tuple, found)) == sorted(rows)
+    whole = packing.in_order(packing.packed(df.coalesce(1))).withColumn("p", F.spark_partition_id()).collect()
+    by_part = {}
+    for r in whole:
+        by_part.setdefault(r.p, []).append(r.term)
+    assert all(terms == sorted(terms) for terms in by_part.values())
+    assert packing.in_order(packing.packed(df.limit(0))).count() == 0

@@ -92,6 +92,19 @@ def test_sizes_match_the_bytes(spark):
     assert df.first()[0] == len(codecs.group_varint_encode(numbers))
 
 
+def test_group_varint_of_many_rows():
+    import numpy as np
+
+    rows = [[7, 513, 70000, 255], [300], [2**32 - 1] * 5, [], list(range(1, 700))]
+    data, sizes = codecs.group_varint_encode_rows(np.array(sum(rows, []), np.int64), np.array([len(r) for r in rows]))
+    want = [codecs.group_varint_encode(r) for r in rows]
+    assert data.tobytes() == b"".join(want) and sizes.tolist() == [len(w) for w in want]
+    numbers, counts = codecs.group_varint_decode_rows(data.tobytes(), sizes)
+    assert numbers.tolist() == sum(rows, []) and counts.tolist() == [len(r) for r in rows]
+    with pytest.raises(ValueError):
+        codecs.group_varint_encode_rows(np.array([0, 1]), np.array([2]))
+
+
 def test_front_coding():
     joined, marks = codecs.front_encode(["lamp", "lampshade", "lantern", "latch", "late"])
     assert joined == "lampshadenterntchlate" and [m[1] for m in marks] == [0, 4, 2, 2, 0]

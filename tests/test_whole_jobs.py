@@ -30,6 +30,35 @@ def test_gaps_of_every_term_are_decoded(spark, folder):
     assert sorted(map(tuple, found)) == sorted((t, d, d) for d in TEXTS for t in set(tokens(d)))
 
 
+def test_byte_lists_are_made_and_read_while_postings_arrive(monkeypatch):
+    """One term of many spans and many short lists: a task holds a bounded number of postings, not the lists of a batch."""
+    import pyarrow as pa
+
+    from harrow.operators import encoding
+
+    monkeypatch.setattr(encoding, "HELD", 1000)
+    posted = [("the", d * 700 + 1, d % 300 + 1) for d in range(9000)] + [(f"u{i}", 5 * i + 1, 2) for i in range(3000)]
+    arrived = sorted(posted, key=lambda p: p[1] % 97)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("term", "doc_id", "tf"), p, strict=True)) for p in arrived[i : i + 400]]) for i in range(0, len(arrived), 400)]
+    runs = sorted((r for b in encoding._runs(iter(batches)) for r in b.to_pylist()), key=lambda r: (r["term"], r["span"]))
+    assert max(len(r["ids"]) for r in runs) <= 4 * encoding.RUN and len(runs) < len(posted)
+    schema = pa.schema([("term", pa.string()), ("span", pa.int64()), ("ids", pa.binary()), ("tf", pa.binary())])
+    read = []
+    source = (read.append(i) or pa.RecordBatch.from_pylist(runs[i : i + 50], schema) for i in range(0, len(runs), 50))
+    encoded = [(len(read), b) for b in encoding._encode(source)]
+    assert encoded[0][0] < len(read) / 2
+    rows = [r for _, b in encoded for r in b.to_pylist()]
+    assert len({(r["term"], r["block"]) for r in rows}) == len(rows) == 3000 + len({p[1] >> 16 for p in posted[:9000]})
+    decoded = [tuple(r.values()) for b in encoding._decode(b for _, b in encoded) for r in b.to_pylist()]
+    assert sorted(decoded) == sorted(posted)
+
+
+def test_every_list_comes_back_from_bytes(spark, folder):
+    df = entry.queries()["group_varint_decoded"](spark, folder)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert sorted(map(tuple, df.collect())) == sorted((t, d, tokens(d).count(t)) for d in TEXTS for t in set(tokens(d)))
+
+
 def test_exports_recover_after_a_broken_record(spark, tmp_path):
     rows = [(3, "b", "x,1/1,4,two"), (1, "a", "p,1/2,5,one"), (2, "a", 'q,1/2,"5,never closed'), (4, "a", 'r,0/0,1,"last, of\nall"'), (5, "b", None), (6, "b", "y,2/1,3,z")]
     spark.createDataFrame(rows, "rec_id long, src_file string, raw string").write.parquet(f"{tmp_path}/raw_records.parquet")

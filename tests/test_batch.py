@@ -84,6 +84,16 @@ def test_empty_tables(spark):
         assert batch.language_model_search(reviews, asked, 0.4, 3).collect() == batch.language_model_logarithms(reviews, asked, 0.4, 6).collect() == []
 
 
+def test_every_score_is_made_without_a_shuffle(spark, tables, tmp_path):
+    reviews, query, posted = tables
+    reviews.selectExpr("doc_id", "'p' product_id", "1 helpfulness_num", "1 helpfulness_den", "5 score", "text", "timestamp '2024-01-01' received_at").write.parquet(f"{tmp_path}/reviews.parquet")
+    query.write.parquet(f"{tmp_path}/query_terms.parquet")
+    df = entry.queries()["batch_language_model_scores"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    hits = posted.join(rank.query_counts(query), "term").select("query_id", "doc_id").distinct()
+    assert df.select("query_id", "doc_id").exceptAll(hits).count() == 0 and df.count() == hits.count()
+
+
 @pytest.mark.parametrize("name", ["batch_vector_search", "batch_language_model_search"])
 def test_a_search_shuffles_no_hit(spark, tables, tmp_path, name):
     reviews, query, _ = tables

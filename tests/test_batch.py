@@ -104,3 +104,37 @@ def test_a_search_shuffles_no_hit(spark, tables, tmp_path, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "term" not in plan
     assert df.count() == 9 * 10  # no review has the term of one query
+
+
+@pytest.mark.parametrize("asked_at_once", [200_000, 4])
+def test_doc_lnn_is_that_of_the_joins(spark, tables, monkeypatch, asked_at_once):
+    """Also with a query without id, repeated terms, and more queries than go out at once."""
+    monkeypatch.setattr(batch, "ASKED", asked_at_once)
+    reviews, query, posted = tables
+    query = query.union(spark.createDataFrame([(None, "Lid"), (2, "kettle")], query.schema))
+    want = rank.doc_lnn(query, posted).withColumn("weight", F.round("weight", 9))
+    found = batch.doc_lnn(reviews, query, 9)
+    assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 and found.count() == want.count() > 3000
+
+
+def test_doc_lnn_of_empty_tables(spark):
+    some, query = spark.createDataFrame([(1, "the lid"), (2, None)], "doc_id long, text string"), spark.createDataFrame([(1, "the")], "query_id int, term string")
+    for reviews, asked in [(some.limit(0), query), (some, query.limit(0)), (some, query.withColumn("term", F.lit(None).cast("string"))), (some.where("doc_id = 2"), query)]:
+        assert batch.doc_lnn(reviews, asked, 9).collect() == []
+
+
+def test_doc_lnn_shuffles_no_posting_and_weighs_each_once(spark, tables, tmp_path):
+    """Whatever the size of the query table: queries are broadcast, and no logarithm is taken of a hit."""
+    reviews, query, posted = tables
+    reviews.selectExpr("doc_id", "'p' product_id", "1 helpfulness_num", "1 helpfulness_den", "5 score", "text", "timestamp '2024-01-01' received_at").write.parquet(f"{tmp_path}/reviews.parquet")
+    query.write.parquet(f"{tmp_path}/query_terms.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()["batch_doc_lnn"](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "log10" not in plan.lower() and "hashpartitioning(term" not in plan
+        assert df.count() == posted.join(rank.query_counts(query), "term").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
